@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, mixing, quality, sharding
+from . import merkle, mixing, pieces, quality, sharding, sstable
 from .common import documents
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), n_shards=40)
 
@@ -20,12 +27,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
+def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.digests(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_range_shards, op4_merkle_fingerprints, op6_quality_rules, op10_mix_sources)}
+    return {f.__name__: f for f in (op2_range_shards, op4_merkle_fingerprints, op6_quality_rules, op7_sentencepiece, op9_token_tables, op10_mix_sources)}
 
 
 OP4_SQL = r"""
