@@ -36,6 +36,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_batches(rows: DataFrame, id_col: str, run, schema: str) -> DataFrame:
+    """``rows.mapInPandas(run, schema)`` with the id passed through as text, so that nulls don't turn long ids into floats."""
+    kind = rows.schema[id_col].dataType
+    out = rows.withColumn(id_col, F.col(id_col).cast("string")).mapInPandas(run, f"{id_col} string, {schema}")
+    return out.withColumn(id_col, F.col(id_col).cast(kind))
+
+
 def literal_array(values: list, kind: str) -> Column:
     """A bounded list from the driver as one constant array column."""
     return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")

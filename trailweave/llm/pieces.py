@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 MARK = "▁"
 #: Stands between units while a text is being split; no valid text holds a lone surrogate.
 CUT = "\ud800"
@@ -224,7 +226,7 @@ def encoded(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "decoded": [library.decode(i) for i in ids]})
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, rows.select("doc_id").schema.add("ids", "array<int>").add("decoded", "string"))
+    return map_batches(rows, "doc_id", run, "ids array<int>, decoded string")
 
 
 def digests(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,4 +244,4 @@ def digests(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "ids_sha256": of_ids, "decoded_sha256": of_text})
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, rows.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))
+    return map_batches(rows, "doc_id", run, "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, mixing, pieces, quality, sharding, sstable
+from . import mainhtml, merkle, mixing, pieces, quality, sharding, sstable, urls
 from .common import documents
 
 
@@ -19,6 +19,10 @@ def op2_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), n_shards=40)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(documents(spark, sf_dir, "pages"))
+
+
 def op4_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(documents(spark, sf_dir))
 
@@ -31,6 +35,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.extracted(documents(spark, sf_dir, "pages"))
+
+
 def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digests(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -40,7 +48,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_range_shards, op4_merkle_fingerprints, op6_quality_rules, op7_sentencepiece, op9_token_tables, op10_mix_sources)}
+    return {f.__name__: f for f in (op2_range_shards, op3_url_filter, op4_merkle_fingerprints, op6_quality_rules, op7_sentencepiece, op8_main_text, op9_token_tables, op10_mix_sources)}
 
 
 OP4_SQL = r"""
