@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mainhtml, merkle, mixing, pieces, quality, sharding, sstable, urls
+from . import mainhtml, merkle, mixing, neardup, pieces, quality, sharding, sstable, urls
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(documents(spark, sf_dir)).select("doc_id", "class_id")
+
+
 def op2_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), n_shards=40)
 
@@ -48,7 +52,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_range_shards, op3_url_filter, op4_merkle_fingerprints, op6_quality_rules, op7_sentencepiece, op8_main_text, op9_token_tables, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_range_shards, op3_url_filter, op4_merkle_fingerprints, op6_quality_rules, op7_sentencepiece, op8_main_text, op9_token_tables, op10_mix_sources)}
 
 
 OP4_SQL = r"""
