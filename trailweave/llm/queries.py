@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mainhtml, merkle, mixing, neardup, pieces, quality, sharding, sstable, urls
+from . import gru, mainhtml, merkle, mixing, neardup, pieces, quality, sharding, sstable, urls
 from .common import documents
 
 
@@ -31,6 +31,10 @@ def op4_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(documents(spark, sf_dir))
 
 
+def op5_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru.scored(documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir))
 
@@ -52,7 +56,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_range_shards, op3_url_filter, op4_merkle_fingerprints, op6_quality_rules, op7_sentencepiece, op8_main_text, op9_token_tables, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_range_shards, op3_url_filter, op4_merkle_fingerprints, op5_gru_scores, op6_quality_rules, op7_sentencepiece, op8_main_text, op9_token_tables, op10_mix_sources)}
 
 
 OP4_SQL = r"""
