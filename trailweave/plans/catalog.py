@@ -1,11 +1,20 @@
-"""All queries over the reference's own operators, and their SQL."""
+"""All queries over the trajectory operators, keyed by inventory id, and their SQL."""
 
 from __future__ import annotations
 
+from . import scalars, temporal
+
+PARTS = (scalars, temporal)
+
+
+def entry(spark, sf_dir):
+    """Trips cut into sessions, with their moving time, way and jumps."""
+    return temporal.session_summary(spark, sf_dir)
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for part in PARTS for name, (run, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for part in PARTS for name, (_, sql) in part.QUERIES.items() if sql}
