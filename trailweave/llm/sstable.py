@@ -42,7 +42,7 @@ FOOTER = struct.Struct("<4QB6s")
 INDEX = struct.Struct("<QII")
 RESTART = 16
 BLOCK_BYTES = 1 << 16
-CACHE = 500_000
+CACHE = 800_000
 CHUNK = 2_000_000
 #: Stands between units while a text is being split; no valid text holds a lone surrogate.
 CUT = "\ud800"
@@ -204,6 +204,7 @@ class UnitEncoder:
         self.library.encode_special_tokens = True
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
+        self.feed = self.library.encode("\n", add_special_tokens=False).ids[0]
         self.double = re.compile(r" \s")
         self.start = re.compile(r" (?=\S)")
         self.cache: dict[str, bytes] = {}
@@ -213,6 +214,24 @@ class UnitEncoder:
             return self.start.sub(CUT + " ", text).split(CUT)
         return text.replace(" ", CUT + " ").split(CUT)
 
+    def _learn(self, new: list[str]) -> None:
+        """Encode new units. Those that start with a space and hold no line feed go as lines of one text: a line feed before
+        a space is a token by itself, so the tokens between line feeds are those of the units."""
+        plain = [u for u in new if u.startswith(" ") and "\n" not in u and not u[-1].isspace()]
+        for i in range(0, len(plain), 2_000):
+            part = plain[i : i + 2_000]
+            ids = np.array(self.library.encode("\n".join(part), add_special_tokens=False).ids, self.kind)
+            cuts = np.flatnonzero(ids == self.feed)
+            if cuts.size != len(part) - 1:
+                raise ValueError("units and line feeds don't match")
+            whole, start = ids.tobytes(), 0
+            for u, cut in zip(part, [*(cuts * self.width).tolist(), len(whole)], strict=True):
+                self.cache[u] = whole[start:cut]
+                start = cut + self.width
+        rest = [u for u in new if not (u.startswith(" ") and "\n" not in u and not u[-1].isspace())]
+        for u, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
+            self.cache[u] = np.array(e.ids, self.kind).tobytes()
+
     def encode(self, texts: list[str], end: int | None) -> Iterator[bytes]:
         tail = b"" if end is None else np.array([end], self.kind).tobytes()
         at = 0
@@ -227,10 +246,7 @@ class UnitEncoder:
             if len(self.cache) + len(new) > CACHE:
                 self.cache.clear()
                 new = list(units)
-            for i in range(0, len(new), 10_000):
-                part = new[i : i + 10_000]
-                for u, e in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
-                    self.cache[u] = np.array(e.ids, self.kind).tobytes()
+            self._learn(new)
             get = self.cache.__getitem__
             for s in split:
                 yield b"".join(map(get, s)) + tail
