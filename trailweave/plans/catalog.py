@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scalars, temporal
+from . import network, scalars, temporal
 
-PARTS = (scalars, temporal)
+PARTS = (scalars, temporal, network)
 
 
 def entry(spark, sf_dir):

@@ -147,5 +147,6 @@ def sql(body: str, *views: str) -> str:
     body = body.strip()
     if not views:
         return body
-    more = body.removeprefix("with ") if body.startswith("with ") else None
-    return "with " + ",\n".join(SQL[v][1] for v in wanted) + (",\n" + more if more else "\n" + body)
+    start = "with recursive " if body.startswith("with recursive ") else "with "
+    more = body.removeprefix(start) if body.startswith("with ") else None
+    return start + ",\n".join(SQL[v][1] for v in wanted) + (",\n" + more if more else "\n" + body)
