@@ -39,7 +39,7 @@ WINDOW = 16
 LANES = 512
 ROUNDS = 2
 RATE = 0.01
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 4_000_000
 PART_TOKENS = 8_000_000
 SHAPES = {"G": (SYMBOLS, 3 * HIDDEN), "U": (HIDDEN, 3 * HIDDEN), "Wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "Ww": (FREQUENT, HIDDEN, WIDE), "bw": (FREQUENT, WIDE)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
@@ -193,7 +193,7 @@ class Lanes:
 def learn(weights: np.ndarray, texts: list[np.ndarray], rate: float) -> np.ndarray:
     """One pass of truncated backpropagation over the texts."""
     model, lanes = Model(weights.copy()), Lanes(texts)
-    m, v, t = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0
+    m, v, step, t = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), np.empty(SIZE, np.float32), 0
     h = np.zeros((lanes.x.shape[1], HIDDEN), np.float32)
     for at, n in lanes.windows(WINDOW):
         grad, h, _ = model.gradient(lanes.x[at, :n], lanes.y[at, :n], lanes.fresh[at, :n], lanes.text[at, :n] >= 0, h[:n])
@@ -201,9 +201,19 @@ def learn(weights: np.ndarray, texts: list[np.ndarray], rate: float) -> np.ndarr
         if norm > 1:
             grad *= 1 / norm
         t += 1
-        m += 0.1 * (grad - m)
-        v += 0.01 * (grad * grad - v)
-        model.flat -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        m *= 0.9
+        v *= 0.99
+        np.multiply(grad, 0.1, out=step)
+        m += step
+        np.multiply(grad, grad, out=step)
+        step *= 0.01
+        v += step
+        np.sqrt(v, out=step)
+        step *= 1 / np.sqrt(1 - 0.99**t)
+        step += 1e-6
+        np.divide(m, step, out=step)
+        step *= rate / (1 - 0.9**t)
+        model.flat -= step
     return model.flat
 
 
@@ -213,7 +223,7 @@ def loglik(weights: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
         return np.zeros(0)
     model, lanes, out = Model(weights), Lanes(texts), np.zeros(len(texts))
     h = np.zeros((lanes.x.shape[1], HIDDEN), np.float32)
-    for at, n in lanes.windows(4 * WINDOW):
+    for at, n in lanes.windows(WINDOW):
         states, _ = model.states(lanes.x[at, :n], lanes.fresh[at, :n], h[:n])
         h, real = states[-1], lanes.text[at, :n] >= 0
         like, _ = model.outputs(states[real], lanes.y[at, :n][real])
