@@ -300,7 +300,7 @@ def saved(store, root: str, where: int, part: int, table: TableWriter) -> pd.Dat
 
 
 def read(spark, folder: str) -> DataFrame:
-    """range, part, place (gapless from 0 in the file), doc_id, before (ids ahead of it in its file), ids as bytes, width."""
+    """range, part, place (gapless from 0 in the file), doc_id (as text), before (ids ahead of it in its file), ids as bytes, width."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -308,13 +308,13 @@ def read(spark, folder: str) -> DataFrame:
                 where, part = path.rpartition("/")[2].removesuffix(".sst").split("-")
                 table, rows, before = Table(data), [], 0
                 for place, (key, value) in enumerate(table):
-                    rows.append((int(where), int(part), place, identifier_of(key), before, value, table.width))
+                    identifier = identifier_of(key)
+                    rows.append((int(where), int(part), place, None if identifier is None else str(identifier), before, value, table.width))
                     before += len(value) // table.width
-                out = pd.DataFrame(rows, columns=["range", "part", "place", "doc_id", "before", "ids", "width"])
-                yield out.astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["range", "part", "place", "doc_id", "before", "ids", "width"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder)
-    return files.select("path", "content").mapInPandas(run, "range int, part int, place int, doc_id long, before long, ids binary, width int")
+    return files.select("path", "content").mapInPandas(run, "range int, part int, place int, doc_id string, before long, ids binary, width int")
 
 
 def digests(df: DataFrame, tokenizer_file: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
@@ -338,7 +338,7 @@ def digests(df: DataFrame, tokenizer_file: str, end: int = 0, id_col: str = "doc
         for b in batches:
             crc = [zlib.crc32(np.frombuffer(v, f"<u{w}").astype("<u4").tobytes()) for v, w in zip(b["ids"], b["width"], strict=True)]
             n = [len(v) // w for v, w in zip(b["ids"], b["width"], strict=True)]
-            yield b[["range", "part", "doc_id", "before"]].assign(n_tokens=n, ids_crc32=crc).astype({"doc_id": "Int64"})
+            yield b[["range", "part", "doc_id", "before"]].assign(n_tokens=n, ids_crc32=crc)
 
-    rows = read(spark, folder).mapInPandas(run, "range int, part int, doc_id long, before long, n_tokens long, ids_crc32 long")
-    return rows.join(starts, ["range", "part"]).select("doc_id", (F.col("ahead") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    rows = read(spark, folder).mapInPandas(run, "range int, part int, doc_id string, before long, n_tokens long, ids_crc32 long")
+    return rows.join(starts, ["range", "part"]).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("ahead") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
