@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trailweave.operators import asof, belief, islands, rolling
+from trailweave.operators import asof, belief, islands, rolling, trust
 
 from .views import fixes, imu, particles, reference, sql, states, table
 
@@ -225,3 +225,4 @@ put("SE-02", lambda spark, d: fixes(spark, d).where("good").select(F.floor(c("t"
 put("SE-03", lambda spark, d: fixes(spark, d).select("trip_id", "seq").exceptAll(fixes(spark, d).where("seq % 3 = 1").select("trip_id", "seq")), "select trip_id, seq from fixes where seq % 3 <> 1", "fixes")
 put("SL-01", lambda spark, d: fixes(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("trip_id").orderBy("speed", "seq"))).select("trip_id", "seq", "pos"), "select trip_id, seq, row_number() over (partition by trip_id order by speed, seq) as pos from fixes", "fixes")
 put("TX-10", lambda spark, d: belief.normalized(particles(spark, d).join(table(spark, d, "part").where("p_size > 20").select(c("p_partkey").alias("id"), (c("p_size") / 50.0).alias("score")), c("trip_id") == c("id"), "left").withColumn("w", c("w") * F.when(c("edge") < 3, F.coalesce(1 + 2.0 * c("score"), F.lit(1.0))).otherwise(1.0))).select("trip_id", "i", F.round("w", 9).alias("w")), "with b as (select x.*, w * case when edge < 3 then coalesce(1 + 2.0e0 * (p.p_size / 50.0e0), 1.0e0) else 1.0e0 end as b from particles x left join part p on p.p_partkey = x.trip_id and p.p_size > 20) select trip_id, i, round(b / sum(b) over (partition by trip_id), 9) as w from b", "particles")
+put("ST-01", lambda spark, d: trust.histories(fixes(spark, d).selectExpr("trip_id", "cast(seq as int) as seq", "t", "good as accepted")), None)
