@@ -226,3 +226,15 @@ put("SE-03", lambda spark, d: fixes(spark, d).select("trip_id", "seq").exceptAll
 put("SL-01", lambda spark, d: fixes(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("trip_id").orderBy("speed", "seq"))).select("trip_id", "seq", "pos"), "select trip_id, seq, row_number() over (partition by trip_id order by speed, seq) as pos from fixes", "fixes")
 put("TX-10", lambda spark, d: belief.normalized(particles(spark, d).join(table(spark, d, "part").where("p_size > 20").select(c("p_partkey").alias("id"), (c("p_size") / 50.0).alias("score")), c("trip_id") == c("id"), "left").withColumn("w", c("w") * F.when(c("edge") < 3, F.coalesce(1 + 2.0 * c("score"), F.lit(1.0))).otherwise(1.0))).select("trip_id", "i", F.round("w", 9).alias("w")), "with b as (select x.*, w * case when edge < 3 then coalesce(1 + 2.0e0 * (p.p_size / 50.0e0), 1.0e0) else 1.0e0 end as b from particles x left join part p on p.p_partkey = x.trip_id and p.p_size > 20) select trip_id, i, round(b / sum(b) over (partition by trip_id), 9) as w from b", "particles")
 put("ST-01", lambda spark, d: trust.histories(fixes(spark, d).selectExpr("trip_id", "cast(seq as int) as seq", "t", "good as accepted")), None)
+put("FL-03", lambda spark, d: islands.by_change(imu(spark, d).withColumn("q", (F.abs("a_long") < 1.2) & (F.abs("yaw") < 0.15)), ["trip_id"], ["n"], c("q")).select("trip_id", "n", (c("q") & (c("n") - F.min("n").over(Window.partitionBy("trip_id", "island")) >= 2)).alias("quiet")), """
+with a as (select *, abs(a_long) < 1.2e0 and abs(yaw) < 0.15e0 as q from imu), b as (select *, case when q is distinct from lag(q) over (partition by trip_id order by n) then 1 else 0 end as ch from a),
+r as (select *, sum(ch) over (partition by trip_id order by n rows unbounded preceding) as island from b)
+select trip_id, n, q and n - min(n) over (partition by trip_id, island) >= 2 as quiet from r""", "imu")
+put("FL-05", lambda spark, d: fixes(spark, d).select("trip_id", "seq", F.coalesce(c("t") - F.lag("t").over(Window.partitionBy("trip_id").orderBy("seq")) > 20.0, F.lit(False)).alias("gap")), "select trip_id, seq, coalesce(t - lag(t) over (partition by trip_id order by seq) > 20.0e0, false) as gap from fixes", "fixes")
+put("FL-14", lambda spark, d: fixes(spark, d).where("good and not synthetic and speed >= 5").select("trip_id", "seq", r6(c("speed")).alias("speed")), "select trip_id, seq, round(speed, 6) as speed from fixes where good and not synthetic and speed >= 5", "fixes")
+put("AG-30", lambda spark, d: fixes(spark, d).withColumn("a", F.abs(c("speed") - 10.0)).withColumn("b", F.abs(c("speed") - c("acc") / 5.0)).groupBy(F.floor(c("speed") / 10).alias("bin")).agg(F.count("*").alias("n"), r6(F.avg("a")).alias("mae_a"), r6(F.avg("b")).alias("mae_b"), r6(100 * (1 - F.avg("b") / F.avg("a"))).alias("gain")),
+    "select cast(floor(speed / 10) as bigint) as bin, count(*) as n, round(avg(a), 6) as mae_a, round(avg(b), 6) as mae_b, round(100 * (1 - avg(b) / avg(a)), 6) as gain from (select *, abs(speed - 10.0e0) as a, abs(speed - acc / 5.0e0) as b from fixes) group by 1", "fixes")
+put("SL-06", lambda spark, d: particles(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("trip_id").orderBy("w", "i"))).where("rank <= 3").select("trip_id", "i", "rank"), "select trip_id, i, rk as rank from (select *, row_number() over (partition by trip_id order by w, i) as rk from particles) where rk <= 3", "particles")
+put("SL-04", lambda spark, d: particles(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("trip_id").orderBy(c("w").desc(), "i"))).withColumn("best", F.max("w").over(Window.partitionBy("trip_id"))).where("rank <= 20 and (rank <= 4 or w >= 0.5D * best)").select("trip_id", "i", "rank"), "select trip_id, i, rk as rank from (select *, row_number() over (partition by trip_id order by w desc, i) as rk, max(w) over (partition by trip_id) as best from particles) where rk <= 20 and (rk <= 4 or w >= 0.5e0 * best)", "particles")
+put("SS-06", lambda spark, d: imu(spark, d).groupBy("trip_id", F.floor(c("n") / 2).alias("step")).agg(F.round(F.avg("a_long"), 9).alias("a"), F.round(F.avg("yaw"), 9).alias("yaw")), "select trip_id, n // 2 as step, 0.0e0 + round(avg(a_long), 9) as a, 0.0e0 + round(avg(yaw), 9) as yaw from imu group by 1, 2", "imu")
+put("WN-25", lambda spark, d: fixes(spark, d).withColumn("dt", F.coalesce(c("t") - F.lag("t").over(Window.partitionBy("trip_id").orderBy("seq")), F.lit(0.0))).select("trip_id", "seq", F.round(F.least(F.lit(300.0), F.sum(F.greatest(F.lit(0.0), c("acc") / 5.0 - c("speed")) * c("dt")).over(Window.partitionBy("trip_id").orderBy("seq"))), 4).alias("delta")), "select trip_id, seq, round(least(300.0e0, sum(greatest(0.0e0, acc / 5.0e0 - speed) * dt) over (partition by trip_id order by seq rows unbounded preceding)), 4) as delta from (select *, coalesce(t - lag(t) over (partition by trip_id order by seq), 0.0e0) as dt from fixes)", "fixes")
