@@ -104,6 +104,22 @@ def test_mix_comes_near_its_targets(spark):
     assert sum(t for _, t in by.values()) == pytest.approx(sum(1 + i % 50 for i in range(4000)))
 
 
+def test_mix_meets_the_targets_of_small_sources(spark):
+    # 2**17 blocks of 20 words; most sources hold a few blocks or less than one
+    small = {f"s{n}": n for n in (1, 3, 19, 20, 21, 50, 333, 4000)} | {None: 70}
+    docs = [(i, "w " * 4000, "big") for i in range(640)] + [(1000 + 100 * k + j, "w " * (n // 3 + (j < n % 3)), s) for k, (s, n) in enumerate(small.items()) for j in range(3)]
+    got = rows(mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")))
+    assert len(got) == len(docs)
+    for s, n in small.items():
+        mine = [r for r in got if r["source"] == s]
+        assert sum(r["taken"] for r in mine) == round(mine[0]["target"]) == 3 * n
+        assert all(r["taken"] == 3 * r["size"] for r in mine)
+    # 40,000 words towards 1 of 11 shares of 640,000: one pass and 18,182 words of the next
+    docs = [(i, "w " * 4000, f"big{i % 2}" if i % 16 else "few") for i in range(160)]
+    few = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), weights=(5, 5, 1), slots=2**10).where("source = 'few'")
+    assert sorted(r["taken"] for r in rows(few)) == [4000] * 5 + [6182] + [8000] * 4
+
+
 def test_targets_hold_small_sources_down():
     got = {s.name: s.target for s in mixing.targets({"a": 10, "b": 1000, None: 1000})}
     assert got["a"] == 30 and got["b"] + got[None] == 1980 and got["b"] == 2 * got[None]
