@@ -8,8 +8,9 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
-from trailweave.llm import gru, mainhtml, merkle, mixing, neardup, pieces, quality, sharding, sstable, urls
+from trailweave.llm import gru, mainhtml, merkle, mixing, neardup, pieces, quality, ranges, sharding, sstable, urls
 
 PIECES, BYTES = P.path("piece_bpe_32k.model"), P.path("byte_bpe_50k.json")
 
@@ -221,6 +222,30 @@ def test_merkle_finds_the_edit(spark):
     assert 0.9 < r[2]["near_next"] < 1 and r[1]["near_next"] == 1.0 and 0.4 < r[1]["near_edited"] <= 1
 
 
+def test_ranges_are_numbered_by_the_splitters_returned(spark):
+    moved = []
+    for seed in range(6):
+        rng = random.Random(seed)
+        docs = [(i, rng.choice([50_000, 400_000]) if rng.random() < 0.02 else rng.randrange(1, 60)) for i in range(3000)]
+        keys = spark.createDataFrame(docs, "id long, weight long").select(ranges.key_of(F.lit(0), F.col("id")).alias("key"), "weight")
+        out, found, splitters = ranges.with_ranges(keys, 200)
+        got = {r["key"]["b"]: (r["range"], r["want"]) for r in out.withColumn("want", ranges.range_of(splitters)).collect()}
+        moved.append(sum(a != b for a, b in got.values()))
+        weight = collections.Counter()
+        for i, w in docs:
+            weight[got[i][0]] += w
+        assert {r["range"]: r["weight"] for r in found} == weight
+    assert moved == [0] * 6
+
+
+def test_every_document_finds_its_next_beside_heavy_ones(spark):
+    rng = random.Random(1)
+    docs = {i: f"{i} " + "x" * (rng.choice([5_000, 40_000]) if rng.random() < 0.02 else rng.randrange(60)) for i in range(3000)}
+    table, order = merkle.with_next(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), "doc_id", "text", bytes_per_range=4000)
+    got = {r["doc_id"]: r["next"] for r in table.withColumn("next", F.lead("text").over(order)).where("guest = 0").select("doc_id", "next").collect()}
+    assert got == {i: docs[(i - 1) % 3000] for i in docs}
+
+
 def test_quality_counts(odd):
     text = "a b c d e f g h\na b c d e f g h\nx # $ y\nx # $ y"
     got = quality.counted(odd.limit(1).selectExpr(f"'{text}' as text".replace("\n", "\\n"))).first()

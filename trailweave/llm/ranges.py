@@ -1,7 +1,8 @@
 """Sampled splitters: cut a keyed table into ranges of bounded weight without sorting it in one place.
 
 Rows are drawn with a chance in proportion to their weight, by a hash of the key, so reruns draw the same rows; quantiles
-of the draw are the range boundaries. Ranges that turn out overfull are sampled again at a higher rate and subdivided.
+of the draw are the range boundaries. Ranges that turn out overfull are sampled again at a higher rate and subdivided,
+until a draw finds no new boundary: what is overfull then is all but filled by one key.
 The draw is bounded by ``OVERSAMPLE * max_ranges`` keys, the only thing that reaches the driver.
 """
 
@@ -54,11 +55,11 @@ def range_of(splitters: list[tuple[int, int]]) -> Column:
     return (coarse * width + below(F.slice(as_rows(splitters), coarse * width + 1, F.lit(width)))).cast("int")
 
 
-def with_ranges(rows: DataFrame, parts: int, slack: float = 2.0, rounds: int = 3) -> tuple[DataFrame, list[dict], list[tuple[int, int]]]:
+def with_ranges(rows: DataFrame, parts: int, slack: float = 2.0) -> tuple[DataFrame, list[dict], list[tuple[int, int]]]:
     """``rows`` (key, weight, ...) with ``range``; per range its number, rows and weight in order; and the splitters."""
     total = rows.agg(F.sum("weight")).first()[0] or 0
     splitters = quantiles(draw(rows, total, OVERSAMPLE * parts), parts)
-    for _ in range(rounds):
+    while True:  # each round adds a boundary or is the last, and ranges are numbered by the boundaries returned
         out = rows.withColumn("range", range_of(splitters))
         found = out.groupBy("range").agg(F.count("*").alias("rows"), F.sum("weight").alias("weight")).orderBy("range").collect()
         full = [r for r in found if r["weight"] * parts > slack * total and r["rows"] > 1]
