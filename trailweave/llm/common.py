@@ -36,6 +36,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(*values: Column) -> Column:
+    """Digest of text columns that tells null from empty text and one column from the next."""
+    told = [F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values]
+    return F.unhex(F.md5(F.concat(*told).cast("binary")))
+
+
 def map_batches(rows: DataFrame, id_col: str, run, schema: str) -> DataFrame:
     """``rows.mapInPandas(run, schema)`` with the id passed through as text, so that nulls don't turn long ids into floats."""
     kind = rows.schema[id_col].dataType
