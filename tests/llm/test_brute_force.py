@@ -52,7 +52,6 @@ def test_tables_equal_the_library_and_look_up(odd):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(BYTES)
-    library.encode_special_tokens = True
     docs = sorted(odd.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
     got = sorted(sstable.digests(odd, BYTES).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == [r["doc_id"] for r in docs]
@@ -69,6 +68,16 @@ def test_tables_equal_the_library_and_look_up(odd):
     assert not any(n for c in by_id.values() for n in c.values()) and sum(r["n_tokens"] for r in got) == start
 
 
+def test_units_on_random_strings():
+    from tokenizers import Tokenizer
+
+    rng, library, encoder = random.Random(3), Tokenizer.from_file(BYTES), sstable.UnitEncoder(BYTES)
+    alphabet = ["a", "b", "the", "ing", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\u3000", "\x1c", "\x85", "é", "中", "😀", "'s", "12", ".", "<|endoftext|>", "\x0b", "don't"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(50))) for _ in range(8000)]
+    for text, ids in zip(texts, encoder.encode(texts, None), strict=True):
+        assert np.frombuffer(ids, encoder.kind).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_table_bytes():
     writer, values = sstable.TableWriter(2), {i * i: np.arange(i % 900, dtype="<u2").tobytes() for i in range(1200)}
     for k, v in values.items():

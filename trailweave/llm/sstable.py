@@ -42,8 +42,10 @@ FOOTER = struct.Struct("<4QB6s")
 INDEX = struct.Struct("<QII")
 RESTART = 16
 BLOCK_BYTES = 1 << 16
-CACHE = 800_000
+CACHE = 500_000
 CHUNK = 2_000_000
+#: Units that the library encodes at once.
+LINES = 200
 #: Stands between units while a text is being split; no valid text holds a lone surrogate.
 CUT = "\ud800"
 
@@ -192,8 +194,9 @@ class Table:
 class UnitEncoder:
     """Ids of whole texts by a byte-level tokenizer, each distinct unit encoded by the library once.
 
-    A unit starts at a space that a character other than white space follows; the tokenizer's own splitting never
-    crosses that point and looks no further, so the ids of a text are those of its units in a row.
+    A unit is a word with the space before it, or a run of white space up to its last character. The tokenizer's own
+    splitting crosses none of these points, and what it makes of a unit depends on nothing beyond it, so the ids of a text
+    are those of its units in a row. A text that holds an added token, at which the library cuts first, goes to it whole.
     """
 
     def __init__(self, path: str):
@@ -201,25 +204,32 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.feed = self.library.encode("\n", add_special_tokens=False).ids[0]
-        self.double = re.compile(r" \s")
-        self.start = re.compile(r" (?=\S)")
+        # white space to the library, which doesn't count the four separators from 1C to 1F as such
+        blank, other = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
+        self.double = re.compile(blank + blank)
+        self.unit = re.compile(f" ?{other}+|{blank}+(?!{other})|{blank}")
         self.cache: dict[str, bytes] = {}
 
     def _split(self, text: str) -> list[str]:
+        if any(t in text for t in self.added):
+            return [text]
         if self.double.search(text):
-            return self.start.sub(CUT + " ", text).split(CUT)
-        return text.replace(" ", CUT + " ").split(CUT)
+            return self.unit.findall(text)
+        return text.replace(" ", CUT + " ").replace("\n", CUT + "\n" + CUT).split(CUT)
 
     def _learn(self, new: list[str]) -> None:
-        """Encode new units. Those that start with a space and hold no line feed go as lines of one text: a line feed before
-        a space is a token by itself, so the tokens between line feeds are those of the units."""
-        plain = [u for u in new if u.startswith(" ") and "\n" not in u and not u[-1].isspace()]
-        for i in range(0, len(plain), 2_000):
-            part = plain[i : i + 2_000]
+        """Encode new units: words go as lines of one text. A line feed between words, or before the space of one, is a token
+        by itself, so the tokens between line feeds are those of the words."""
+        rest, words = [], []
+        for u in new:
+            plain = len(u) > 1 and u.isprintable() and not u[-1].isspace() and not any(t in u for t in self.added)
+            (words if plain else rest).append(u)
+        for i in range(0, len(words), LINES):
+            part = words[i : i + LINES]
             ids = np.array(self.library.encode("\n".join(part), add_special_tokens=False).ids, self.kind)
             cuts = np.flatnonzero(ids == self.feed)
             if cuts.size != len(part) - 1:
@@ -228,9 +238,8 @@ class UnitEncoder:
             for u, cut in zip(part, [*(cuts * self.width).tolist(), len(whole)], strict=True):
                 self.cache[u] = whole[start:cut]
                 start = cut + self.width
-        rest = [u for u in new if not (u.startswith(" ") and "\n" not in u and not u[-1].isspace())]
-        for u, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.cache[u] = np.array(e.ids, self.kind).tobytes()
+        for u in rest:
+            self.cache[u] = np.array(self.library.encode(u, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, texts: list[str], end: int | None) -> Iterator[bytes]:
         tail = b"" if end is None else np.array([end], self.kind).tobytes()
@@ -263,7 +272,7 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write(df: DataFrame, folder: str, tokenizer_file: str, end: int | None = 0, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 4 << 20, bytes_per_range: int = 16 << 20, max_ranges: int = 16_384) -> DataFrame:
+def write(df: DataFrame, folder: str, tokenizer_file: str, end: int | None = 0, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 4 << 20, bytes_per_range: int = 16 << 20, max_ranges: int = 65_536) -> DataFrame:
     """Encode and write all rows as tables under ``folder``; returns path, range, part, records, ids of each table."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     key = key_of(F.col("doc_id"), F.xxhash64("text"))
