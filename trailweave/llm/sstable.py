@@ -31,6 +31,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,12 +44,12 @@ FOOTER = struct.Struct("<4QB6s")
 INDEX = struct.Struct("<QII")
 RESTART = 16
 BLOCK_BYTES = 1 << 16
-CACHE = 500_000
-CHUNK = 2_000_000
+CACHE = 800_000
+CHUNK = 6000000
 #: Units that the library encodes at once.
 LINES = 200
-#: Stands between units while a text is being split; no valid text holds a lone surrogate.
-CUT = "\ud800"
+#: Stands between units while a text is being split; it is no character, and a text that holds it all the same goes to the library whole.
+CUT = "\ufdd0"
 
 
 def key_bytes(identifier: int | None) -> bytes:
@@ -212,53 +214,67 @@ class UnitEncoder:
         blank, other = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
         self.double = re.compile(blank + blank)
         self.unit = re.compile(f" ?{other}+|{blank}+(?!{other})|{blank}")
-        self.cache: dict[str, bytes] = {}
+        #: What was used lately, and what was used before that.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _split(self, text: str) -> list[str]:
-        if any(t in text for t in self.added):
-            return [text]
+    def _cut(self, text: str) -> str:
+        """The text with a mark between its units."""
         if self.double.search(text):
-            return self.unit.findall(text)
-        return text.replace(" ", CUT + " ").replace("\n", CUT + "\n" + CUT).split(CUT)
+            return CUT.join(self.unit.findall(text))
+        return text.replace(" ", CUT + " ").replace("\n", CUT + "\n" + CUT)
 
     def _learn(self, new: list[str]) -> None:
         """Encode new units: words go as lines of one text. A line feed between words, or before the space of one, is a token
         by itself, so the tokens between line feeds are those of the words."""
-        rest, words = [], []
-        for u in new:
-            plain = len(u) > 1 and u.isprintable() and not u[-1].isspace() and not any(t in u for t in self.added)
-            (words if plain else rest).append(u)
+        words = [u for u in new if u.isprintable() and u[-1:] != " " and u]  # what is printable holds no other blank
         for i in range(0, len(words), LINES):
             part = words[i : i + LINES]
             ids = np.array(self.library.encode("\n".join(part), add_special_tokens=False).ids, self.kind)
-            cuts = np.flatnonzero(ids == self.feed)
+            cuts = np.flatnonzero(ids == self.feed) * self.width
             if cuts.size != len(part) - 1:
                 raise ValueError("units and line feeds don't match")
-            whole, start = ids.tobytes(), 0
-            for u, cut in zip(part, [*(cuts * self.width).tolist(), len(whole)], strict=True):
-                self.cache[u] = whole[start:cut]
-                start = cut + self.width
-        for u in rest:
-            self.cache[u] = np.array(self.library.encode(u, add_special_tokens=False).ids, self.kind).tobytes()
+            whole, ends = ids.tobytes(), [*cuts.tolist(), ids.nbytes]
+            starts = [0, *(cuts + self.width).tolist()]
+            self.young.update(zip(part, map(whole.__getitem__, map(slice, starts, ends)), strict=True))
+        for u in set(new).difference(words):
+            self.young[u] = np.array(self.library.encode(u, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _values(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units: from the young half of the cache, the old half, or the library."""
+        if len(self.young) > CACHE // 2:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = [u for u in units if u not in young]
+        found = [u for u in missing if u in old]
+        young.update(zip(found, map(old.__getitem__, found), strict=True))
+        self._learn([u for u in missing if u not in young])
+        return list(map(young.__getitem__, units))
 
     def encode(self, texts: list[str], end: int | None) -> Iterator[bytes]:
+        """The ids of each text. Units are told apart and put in their places by whole columns, a chunk of texts at a time."""
         tail = b"" if end is None else np.array([end], self.kind).tobytes()
         at = 0
         while at < len(texts):
-            split, size = [], 0
-            while at < len(texts) and (size < CHUNK or not split):
-                split.append(self._split(texts[at]))
-                size += len(texts[at])
+            cut, size, whole = [], 0, {}
+            while at < len(texts) and (size < CHUNK or not cut):
+                text = texts[at]
+                if CUT in text or any(t in text for t in self.added):
+                    whole[len(cut)] = np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes() + tail
+                cut.append("" if len(cut) in whole else self._cut(text))
+                size += len(text)
                 at += 1
-            units = set().union(*split)
-            new = [u for u in units if u not in self.cache]
-            if len(self.cache) + len(new) > CACHE:
-                self.cache.clear()
-                new = list(units)
-            self._learn(new)
-            get = self.cache.__getitem__
-            for s in split:
-                yield b"".join(map(get, s)) + tail
+            split = pc.split_pattern(pa.array(cut, pa.large_string()), CUT)
+            units = split.flatten().dictionary_encode()
+            values = self._values(units.dictionary.to_pylist())
+            pool, sizes = np.frombuffer(b"".join(values), self.kind), np.fromiter(map(len, values), np.int64, len(values)) // self.width
+            which = units.indices.to_numpy()
+            starts, n = (np.cumsum(sizes) - sizes)[which], sizes[which]
+            ends = np.cumsum(n)
+            ids = pool[np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if ends.size else 0)]
+            edges = np.r_[0, ends][np.asarray(split.offsets)]
+            for k, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                yield whole.get(k) or ids[i:j].tobytes() + tail
 
 
 @functools.lru_cache(2)
