@@ -243,6 +243,60 @@ def test_main_text():
     assert [mainhtml.main_text(p) for p in (None, "", "<p", "a < b")] == ["", "", "", "a < b"]
 
 
+def test_scores_choose_the_container():
+    prose = "<p>" + "Some long text, with commas, and more words in it. " * 4 + "</p>"
+    # the text stands outside the article, which only holds a list of links
+    links = "".join(f"<li><a href='/{i}'>a link, another, and one more</a></li>" for i in range(9))
+    page = f"<body><article><ul>{links}</ul></article><div><h2 id='related-work'>Title</h2>{prose * 3}</div><div class='sidebar'>{prose}</div></body>"
+    want = "\n\n".join(["Title"] + [mainhtml.clean("Some long text, with commas, and more words in it. " * 4)] * 3)
+    assert mainhtml.main_text(page) == want
+    # a class that names a sidebar does not lose the page's only text, but an advert is dropped at any size
+    assert mainhtml.main_text(f"<body><div class='content no-sidebar'>{prose * 3}</div></body>") == want.removeprefix("Title\n\n")
+    assert mainhtml.main_text(f"<body><div class='search-widget'><h2>Title</h2>{prose * 3}</div><p>x</p></body>").startswith(want)
+    assert mainhtml.main_text(f"<body><div class='ad'>{prose * 3}</div><article><p>x</p></article></body>") == "x"
+    # of two articles the one with more text outside links is kept, and parts of one container stay together
+    assert mainhtml.main_text(f"<body><article>{links}</article><article><section>{prose}</section><section>{prose}</section><p>End.</p></article></body>") == want.split("\n\n")[1] + "\n\n" + want.split("\n\n")[1] + "\n\nEnd."
+
+
+def test_scores_equal_a_plain_sum():
+    rng = random.Random(2)
+    for _ in range(60):
+        page, opened = [], []
+        for _ in range(40):
+            kind = rng.randrange(3)
+            if kind == 0 or not opened:
+                opened.append(rng.choice(["div", "section", "article"]))
+                page.append(f"<{opened[-1]}>")
+            elif kind == 1:
+                page.append(f"<p>{'word, ' * rng.randrange(1, 9)}<a>{'link ' * rng.randrange(3)}</a></p>")
+            else:
+                page.append(f"</{opened.pop()}>")
+        root = mainhtml.parse("".join(page))
+        want = collections.Counter()
+        for node in mainhtml.measured(root):
+            up, share = node.parent, 1.0
+            while up:
+                want[id(up)] += node.own * share
+                up, share = up.parent, share / 2
+        assert all(n.held == pytest.approx(sum(m.own for m in below(n))) for n in below(root))
+        assert all(n.points == pytest.approx(want[id(n)]) for n in below(root))
+
+
+def below(node):
+    return [node] + [x for item in node.items if not isinstance(item, str) for x in below(item)]
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        began = time.process_time()
+        assert mainhtml.main_text("<div>" * n + "<p>a, b</p>" + "</i></div>" * n) == "a, b"
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.2
+
+
 def test_gradient_is_that_of_finite_differences():
     rng = np.random.default_rng(0)
     w = gru.first_weights(rng.integers(0, 50, gru.SYMBOLS))

@@ -1,20 +1,25 @@
 """Main text of web pages by scoring the element tree.
 
-A forgiving parser builds the tree (implied end tags, raw text elements, cut-off pages). Elements that are menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments, by tag, role, class or id, are
-left out. Each paragraph passes points (one, one per comma, one per 100 characters up to three) to its parent, half of
-them to the grandparent and ever less further up; an element's points count in the share of its text that lies outside
-links. The best element, or the article it lies in, is kept with those of its siblings that score a fifth as much, and
-headings and plain paragraphs beside it. Its blocks come out in page order.
-
-Null or empty html gives an empty text; a page without any scored paragraph keeps its article, main part or body. Pages
-are read whole and each stands for itself, so repeated rows and ties need no rule; an empty table gives no rows.
+A forgiving parser builds the tree (implied end tags, raw text elements, cut-off pages). What HTML itself declares to be
+no text of the page (scripts, styles, forms, nav, footer, aside, the header of the page, such roles) is left out. Each
+paragraph passes points (one, one per comma, one per 100 characters up to three) to its parent, half of them to the
+grandparent, a quarter to the next. A class or id with a word of menus, sidebars and the like puts an element in doubt:
+unless it holds most of the points of the page, it passes on and scores only a tenth, and its text is dropped; what is
+named an advert or a comment scores nothing at any size. An
+element's score is its points in the share of its text that lies outside links. The element of the highest score is the
+container, whatever its tag; it is kept with those siblings that score a fifth as much, or that read like prose, and with
+headings beside it. Its blocks come out in page order.
+
+Null or empty html gives an empty text; of a page without any scored paragraph, all of its article, main part or body is
+kept. Pages are read whole and each stands for itself, so repeated rows and ties need no rule (the first of equal scores
+wins); an empty table gives no rows. Time grows with the length of the page, however deep its elements are nested.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,6 +36,7 @@ WORDS = re.compile(r"[a-z]+|\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe noembed noframes template svg math xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr nobr ruby rt rp img br".split())
+SCOPES = frozenset("td th table button caption".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 #: tag -> (open tags that it ends, tags beyond which it looks no further)
 ENDS = {
@@ -44,7 +50,7 @@ ENDS = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, set()),
 }
-#: What is never main text, by tag, by role and by a word of class or id.
+#: What is never main text, by tag and by role; and words of class or id that put an element in doubt.
 OUT_TAGS = frozenset("nav footer aside form head button select dialog menu object canvas audio video".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 OUT_WORDS = frozenset(
@@ -52,41 +58,52 @@ OUT_WORDS = frozenset(
     "sidebar sidebars rail widget widgets comment comments commentlist disqus reply replies respond menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager "
     "footer masthead topbar share sharing social related recommended recommendations newsletter subscribe subscription signup login search toolbar skip".split()
 )
-NEVER_OUT = frozenset("html body article main".split())
+#: These are in doubt however much of the page they hold.
+CERTAIN = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr comment comments commentlist disqus reply replies respond".split())
+#: What such a word says nothing after: class="has-sidebar" is not the sidebar.
+ABOUT = frozenset("has no not with without hide show is".split())
+DOUBT = 0.1
 PARAGRAPHS = frozenset("p pre td blockquote li dd div section article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "out", "main", "text", "linked", "points")
+    __slots__ = ("tag", "parent", "items", "out", "main", "text", "linked", "own", "points", "held", "names", "open_p", "within")
 
     def __init__(self, tag: str, parent: Node | None, rest: str = ""):
         self.tag, self.parent, self.items = tag, parent, []
         self.text = self.linked = 0
-        self.points, self.main = 0.0, tag in ("article", "main")
-        self.out = tag in OUT_TAGS or tag == "header" and not inside(parent, ("article", "main"))
-        if rest and tag not in NEVER_OUT:
-            for name, a, b, c in ATTRIBUTE.findall(rest):
-                name, value = name.lower(), (a or b or c).lower()
-                if name == "role":
-                    self.out |= value in OUT_ROLES
-                    self.main |= value == "main"
-                elif name in ("class", "id"):
-                    self.out |= not OUT_WORDS.isdisjoint(WORDS.findall(value))
-
-
-def inside(node: Node | None, tags: tuple[str, ...]) -> bool:
-    while node:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
+        #: Points of a paragraph itself, those passed up to it, and the sum of all below.
+        self.own = self.points = self.held = 0.0
+        self.names: set[str] = set()
+        self.main = tag in ("article", "main")
+        #: The paragraph that a block would end here, and whether an article or main part is open.
+        self.open_p = self if tag == "p" else None if tag in SCOPES else parent and parent.open_p
+        self.within = self.main or bool(parent and parent.within)
+        self.out = tag in OUT_TAGS or tag == "header" and not self.within
+        for name, a, b, c in ATTRIBUTE.findall(rest) if rest else ():
+            name, value = name.lower(), (a or b or c).lower()
+            if name == "role":
+                self.out |= value in OUT_ROLES
+                self.main |= value == "main"
+            elif name in ("class", "id") and tag not in HEADINGS and tag not in ("html", "body"):
+                for one in value.split():
+                    words = WORDS.findall(one)
+                    self.names.update(w for k, w in enumerate(words) if w in OUT_WORDS and not (k and words[k - 1] in ABOUT))
 
 
 def parse(page: str) -> Node:
     """The tree; a node's items are its children and its texts, in order, with out parts left away."""
     root = here = Node("#root", None)
-    at = 0
+    at, names = 0, Counter()
+
+    def back(node: Node) -> Node:
+        up = here
+        while up is not node:
+            names[up.tag] -= 1
+            up = up.parent
+        return node
+
     while at < len(page):
         tag_at = page.find("<", at)
         if tag_at < 0:
@@ -107,11 +124,11 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m["end"]:
-            node = here
-            while node.parent and node.tag != name:
-                node = node.parent
-            if node.parent:
-                here = node.parent
+            if names[name] > 0:
+                node = here
+                while node.tag != name:
+                    node = node.parent
+                here = back(node.parent)
             elif name == "p":
                 here.items.append(Node("p", here))
             continue
@@ -119,12 +136,8 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end and not m["rest"].endswith("/") else at if m["rest"].endswith("/") else len(page)
             continue
-        if name in CLOSES_P:
-            node = here
-            while node.parent and node.tag not in ("p", "td", "th", "table", "button", "caption"):
-                node = node.parent
-            if node.tag == "p":
-                here = node.parent
+        if name in CLOSES_P and here.open_p:
+            here = back(here.open_p.parent)
         if name in ENDS:
             ends, beyond = ENDS[name]
             node, found = here, None
@@ -132,11 +145,12 @@ def parse(page: str) -> Node:
                 if node.tag in ends:
                     found = node
                 node = node.parent
-            here = found.parent if found else here
+            here = back(found.parent) if found else here
         node = Node(name, here, m["rest"])
         here.items.append(node)
         if name not in VOID and not (m["rest"].endswith("/") and name not in CLOSES_P):
             here = node
+            names[name] += 1
     return root
 
 
@@ -175,31 +189,51 @@ def blocks(node: Node, kept=None) -> list[str]:
 
 
 def measured(root: Node) -> list[Node]:
-    """All nodes that count, children before parents, with their characters, those in links, and points passed up."""
+    """All nodes that count, parents before children, with their characters, those in links, and their points; elements in
+    doubt are marked as out."""
     order, todo = [], [(root, False)]
     while todo:
         node, linked = todo.pop()
         order.append((node, linked))
-        todo += [(x, linked or x.tag == "a") for x in node.items if not isinstance(x, str) and not x.out]
+        todo += [(x, linked or x.tag == "a") for x in reversed(node.items) if not isinstance(x, str) and not x.out]
     for node, linked in reversed(order):
         own = clean(" ".join(x for x in node.items if isinstance(x, str)))
         node.text += len(own)
         node.linked += len(own) * linked
-        whole = own if all(isinstance(x, str) or x.tag in INLINE for x in node.items) else ""
-        if node.tag in PARAGRAPHS and (node.tag == "p" or whole) and (size := node.text - node.linked) >= 1:
+        flat = all(isinstance(x, str) or x.tag in INLINE for x in node.items)
+        if node.tag in PARAGRAPHS and (node.tag == "p" or own and flat) and (size := node.text - node.linked) >= 1:
             commas = "".join(x if isinstance(x, str) else " ".join(blocks(x)) for x in node.items).count(",")
-            points, up, level = (1 + commas + min(size // 100, 3)) * size / node.text, node.parent, 1
-            while up and up.tag != "#root":
-                up.points += points / (1 if level == 1 else 2 if level == 2 else 3 * level)
-                up, level = up.parent, level + 1
+            node.own = (1 + commas + min(size // 100, 3)) * size / node.text
+        node.held += node.own
         if node.parent:
             node.parent.text += node.text
             node.parent.linked += node.linked
+            node.parent.held += node.held
+    for node, _ in reversed(order):
+        node.out = bool(node.names) and (node.held <= root.held / 2 or not CERTAIN.isdisjoint(node.names))
+        if node.parent:
+            node.parent.points += weight(node) * (node.own + node.points / 2)
     return [n for n, _ in order]
 
 
+def weight(node: Node) -> float:
+    return 1.0 if not node.out else 0.0 if not CERTAIN.isdisjoint(node.names) else DOUBT
+
+
 def score(node: Node) -> float:
-    return node.points * (1 - node.linked / node.text) if node.text else 0.0
+    return weight(node) * node.points * (1 - node.linked / node.text) if node.text else 0.0
+
+
+def belongs(node: Node, best: Node) -> bool:
+    """Whether a sibling of the container is kept with it."""
+    if node is best or node.out:
+        return node is best
+    if node.tag in HEADINGS or score(node) >= 0.2 * score(best):
+        return True
+    if node.tag in ("header", "hgroup"):
+        return any(not isinstance(x, str) and x.tag in HEADINGS for x in node.items)
+    prose = node.held > 0 and node.text and node.linked < 0.25 * node.text
+    return bool(prose) and (node.tag in PARAGRAPHS and node.tag not in ("div", "section") or node.text >= 80)
 
 
 def main_text(page: str | None) -> str:
@@ -211,15 +245,10 @@ def main_text(page: str | None) -> str:
     if score(best) <= 0:
         mains = [n for n in nodes if n.main] or [n for n in nodes if n.tag == "body"]
         return "\n\n".join(blocks(mains[0] if mains else root))
-    node = best
-    while node:
-        if node.main:
-            return "\n\n".join(blocks(node))
-        node = node.parent
+    best.out = False
     if best.tag in ("html", "body") or not best.parent:
         return "\n\n".join(blocks(best))
-    beside = [x for x in best.parent.items if x is best or not isinstance(x, str) and not x.out and (score(x) >= 0.2 * score(best) or x.tag in HEADINGS or x.tag == "p" and x.text and x.linked < 0.25 * x.text)]
-    return "\n\n".join(blocks(best.parent, beside))
+    return "\n\n".join(blocks(best.parent, [x for x in best.parent.items if not isinstance(x, str) and belongs(x, best)]))
 
 
 def extracted(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
