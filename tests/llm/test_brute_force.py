@@ -235,6 +235,43 @@ def test_url_rules_and_words(spark):
     assert "h:cheap h:pills" in got[3]["words"]
 
 
+def test_url_model_learns_beyond_its_seeds(spark):
+    rng = random.Random(6)
+    clean, spam = ["river", "garden", "market", "stone", "bridge", "farm"], ["roulette", "freespins", "bigwin", "vipclub"]
+    urls_ = [f"http://{rng.choice(clean)}-{rng.choice(clean)}.example.com/{rng.choice(clean)}/{i}" for i in range(1500)]
+    urls_ += [f"http://casino-{rng.choice(spam)}.example.com/{rng.choice(spam)}/{i}" for i in range(150)]
+    asked = ["http://vipclub-roulette.example.com/bigwin/1", "http://farm-market.example.com/river/2", "http://río-größe.example.com/straße/3", "http://" + "ab" * 700 + ".example.com/"]
+    got = {r["page_id"]: r for r in urls.judged(spark.createDataFrame(list(enumerate(asked + urls_)), "page_id long, url string")).collect()}
+    assert [got[i]["verdict"] for i in range(4)] == ["block", "allow", "allow", "allow"]  # the first has no seed, the second has a weak one
+    assert urls.seeded(got[0]["words"].split()) == 0 and urls.seeded(got[1]["words"].split()) is None and "p:straße" in got[2]["words"]
+    assert sum(got[4 + i]["verdict"] == "block" for i in range(1500)) == 0 and all(got[4 + 1500 + i]["verdict"] == "block" for i in range(150))
+    # scores against a plain count over the same words
+    words = {i: r["words"].split() for i, r in got.items()}
+
+    def counted(label, seeds):
+        count, docs = [collections.Counter(), collections.Counter()], [0, 0]
+        for w in words.values():
+            if (c := label(w)) is not None:
+                docs[c] += 1
+                count[c].update(urls.place(x) for x in w if seeds or x[2:] not in urls.SEEDS)
+        full = [sum(c.values()) + urls.SMOOTHING * urls.BUCKETS for c in count]
+        part = lambda x, c: np.log((count[c][urls.place(x)] + urls.SMOOTHING) / full[c])
+        return lambda w: np.log((docs[1] + 1) / (docs[0] + 1)) + sum(part(x, 1) - part(x, 0) for x in w if seeds or x[2:] not in urls.SEEDS)
+
+    first = counted(urls.seeded, False)
+    second = counted(lambda w: 1 if urls.seeded(w) or first(w) >= urls.SURE else 0, True)
+    assert all(r["score"] == pytest.approx(second(words[i]), abs=1e-3) for i, r in list(got.items())[::40])
+
+
+def test_url_and_page_operators_on_odd_rows(spark):
+    schema = "page_id long, url string, html string, host string, text string, n_chars string, words string"
+    odd_pages = [(1, None, None, "h", "t", "c", "w"), (1, None, None, "h", "t", "c", "w"), (None, "", "", None, None, None, None), (2, "x://a.b/" + "c" * 100_000, "<p>" + "word, " * 30_000, None, None, None, None), (2**53 + 1, "no scheme", "a < b", None, None, None, None)]
+    for run in (urls.judged, mainhtml.extracted):
+        got = collections.Counter(r["page_id"] for r in run(spark.createDataFrame(odd_pages, schema)).collect())
+        assert got == collections.Counter({1: 2, None: 1, 2: 1, 2**53 + 1: 1})
+        assert rows(run(spark.createDataFrame([], schema))) == []
+
+
 def test_main_text():
     page = """<html><head><title>T</title></head><body class="has-sidebar"><nav><ul><li><a href="/">Home</a></ul></nav><header><h1>Site</h1></header>
     <div class="content"><h1>Rivers &amp; bridges</h1><p>Some long text, with commas,\n and more.<p>Second <b>bold</b><br>line<script>var p = "</p>";</script>

@@ -44,8 +44,8 @@ FOOTER = struct.Struct("<4QB6s")
 INDEX = struct.Struct("<QII")
 RESTART = 16
 BLOCK_BYTES = 1 << 16
-CACHE = 800_000
-CHUNK = 6000000
+CACHE = 500_000
+CHUNK = 1_500_000
 #: Units that the library encodes at once.
 LINES = 200
 #: Stands between units while a text is being split; it is no character, and a text that holds it all the same goes to the library whole.
