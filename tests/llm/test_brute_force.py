@@ -366,13 +366,17 @@ def test_held_out_texts_score_above_the_base(spark, sf):
 
 
 def test_merkle_finds_the_edit(spark):
-    base = "\n".join(f"line {i} " + "z" * (i % 200) for i in range(60))
-    d = spark.createDataFrame([(1, base), (2, base.replace("line 30 ", "line X ")), (3, base)], "doc_id long, text string")
-    r = {x["doc_id"]: x for x in merkle.fingerprints(d).collect()}
-    a, b = (r[i]["fingerprint"].split(":") for i in (1, 2))
-    assert r[1]["fingerprint"] == r[3]["fingerprint"] and a[0] != b[0]
-    assert [i for i, (x, y) in enumerate(zip(a[1].split("|"), b[1].split("|"), strict=True)) if x != y] == [30 // merkle.FANOUT]
-    assert 0.9 < r[2]["near_next"] < 1 and r[1]["near_next"] == 1.0 and 0.4 < r[1]["near_edited"] <= 1
+    lines = [f"line {i} " + "z" * (i % 200) for i in range(60)]
+    texts = {1: lines, 2: [x.replace("line 30 ", "line X ") for x in lines], 3: lines, 4: [*lines[:30], "one more", *lines[30:]], 5: lines[:30] + lines[31:]}
+    r = {x["doc_id"]: x for x in merkle.fingerprints(spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()}
+    tree = {i: x["fingerprint"].split(":") for i, x in r.items()}
+    assert r[1]["fingerprint"] == r[3]["fingerprint"] and len({tree[i][0] for i in tree}) == 4 and len(tree[1][1].split("|")) > 4
+    for i in (2, 4, 5):
+        own, other = set(tree[1][1].split("|")), set(tree[i][1].split("|"))
+        assert len(own - other) <= 2 and len(other - own) <= 2  # the section of the edit, two where a border comes or goes
+        leaves = lambda tree: {leaf for s in tree for leaf in s.split("=")[1].replace(";", ",").split(",")}
+        assert len(leaves(own) ^ leaves(other)) <= 6
+    assert 0.9 < r[2]["near_next"] < 1 and r[1]["near_edited"] > 0.4
 
 
 def test_ranges_are_numbered_by_the_splitters_returned(spark):

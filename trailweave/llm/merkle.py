@@ -1,9 +1,11 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections, by DataFrame expressions alone.
 
-A paragraph is a line; it is cut into leaves of ``LEAF`` code points, ``FANOUT`` paragraphs make a section, and the
-sections make the root. The fingerprint writes the tree out: ``root:section=leaf,leaf;leaf|section=...``. Equal roots
-mean equal texts; where roots differ, the sections and then the leaves that differ show where the edit lies. Likeness is
-the share of common leaves, 2 * common / (leaves of one + leaves of the other), each counted once.
+A paragraph is a line; it is cut into leaves of ``LEAF`` code points. A section ends after each paragraph whose last leaf
+has a digest that ends in one of ``LAST``, every eighth on average, so sections are cut by content and a line put in or
+taken out changes the section it lies in (or joins or parts two) and leaves all others as they are. The sections make the
+root. The fingerprint writes the tree out: ``root:section=leaf,leaf;leaf|section=...``. Equal roots mean equal texts;
+where roots differ, the sections and then the leaves that differ show where the edit lies. Likeness is the share of
+common leaves, 2 * common / (leaves of one + leaves of the other), each counted once.
 
 Null text is the empty text, which has one empty leaf. Repeated rows count as separate documents, ordered by id and then
 by a hash of the text; a null id comes after all others. An empty table gives no rows. Texts are read whole.
@@ -18,7 +20,7 @@ from .common import literal_array, staged
 from .ranges import key_of, range_of, with_ranges
 
 LEAF = 96
-FANOUT = 8
+LAST = ("0", "8")
 
 
 def digest(text: Column) -> Column:
@@ -33,9 +35,9 @@ def leaves(text: Column) -> Column:
 
 def fingerprint(leaves: Column) -> Column:
     """The tree over the leaves, written out."""
-    paragraphs = F.transform(leaves, lambda p: F.array_join(p, ","))
-    starts = F.sequence(F.lit(0), F.size(leaves) - 1, F.lit(FANOUT))
-    sections = F.transform(starts, lambda i: F.array_join(F.slice(paragraphs, i + 1, FANOUT), ";"))
+    ended = lambda p: F.concat(p, F.when(F.right(p, F.lit(1)).isin(*LAST), "|").otherwise(";"))
+    written = F.array_join(F.transform(leaves, lambda p: ended(F.array_join(p, ","))), "")
+    sections = F.split(F.substring(written, F.lit(1), F.length(written) - 1), r"\|")
     signed = F.transform(sections, lambda s: F.concat(digest(s), F.lit("="), s))
     return F.concat(F.sha2(F.array_join(signed, "|").cast("binary"), 256), F.lit(":"), F.array_join(signed, "|"))
 
@@ -50,7 +52,7 @@ def leaves_of(fingerprint: Column) -> Column:
     return F.split(F.regexp_replace(F.split_part(fingerprint, F.lit(":"), F.lit(2)), "[0-9a-f]{16}=", ""), "[,;|]")
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str, bytes_per_range: int = 8 << 20, max_ranges: int = 16_384) -> tuple[DataFrame, Window]:
+def with_next(df: DataFrame, id_col: str, text_col: str, bytes_per_range: int = 8 << 20, max_ranges: int = 65_536) -> tuple[DataFrame, Window]:
     """Rows with doc_id, text, guest and the window in which the next row is the next lower id (the highest, for the lowest).
 
     Ids are cut into ranges of bounded bytes; the first row of each range also goes, as a guest, to the range that
@@ -71,7 +73,8 @@ def with_next(df: DataFrame, id_col: str, text_col: str, bytes_per_range: int =
     away = F.struct(F.get(literal_array([to.get(i) for i in range(n)], "int"), F.col("range")).alias("range"), F.lit(1).alias("guest"))
     rows = rows.withColumn("key", key).withColumn("range", range_of(splitters))
     rows = rows.withColumn("at", F.explode(F.when(F.col("key") == F.get(top, F.col("range")), F.array(home, away)).otherwise(F.array(home))))
-    rows = rows.select("doc_id", "text", "key", "at.range", "at.guest")
+    # one task for about one range, however few partitions a session has by default
+    rows = rows.select("doc_id", "text", "key", "at.range", "at.guest").repartition(len(splitters) + 1, "range")
     return rows, Window.partitionBy("range").orderBy("guest", F.col("key").desc())
 
 

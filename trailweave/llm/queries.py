@@ -75,15 +75,19 @@ with d as (
   from f
 ), h as (
   select *, flatten(own) as a, flatten(new) as b, flatten(other) as c,
-    array_to_string(list_transform(range(0, len(own), 8), lambda i: substr(md5(array_to_string(list_transform(list_slice(own, i + 1, i + 8), lambda p: array_to_string(p, ',')), ';')), 1, 16) || '=' || array_to_string(list_transform(list_slice(own, i + 1, i + 8), lambda p: array_to_string(p, ',')), ';')), '|') as own_tree,
-    array_to_string(list_transform(range(0, len(new), 8), lambda i: substr(md5(array_to_string(list_transform(list_slice(new, i + 1, i + 8), lambda p: array_to_string(p, ',')), ';')), 1, 16) || '=' || array_to_string(list_transform(list_slice(new, i + 1, i + 8), lambda p: array_to_string(p, ',')), ';')), '|') as new_tree
+    array_to_string(list_transform(own, lambda p: array_to_string(p, ',') || case when right(array_to_string(p, ','), 1) in ('0', '8') then '|' else ';' end), '') as own_s,
+    array_to_string(list_transform(new, lambda p: array_to_string(p, ',') || case when right(array_to_string(p, ','), 1) in ('0', '8') then '|' else ';' end), '') as new_s
   from g
+), t as (
+  select *, array_to_string(list_transform(string_split(left(own_s, length(own_s) - 1), '|'), lambda x: substr(md5(x), 1, 16) || '=' || x), '|') as own_tree,
+    array_to_string(list_transform(string_split(left(new_s, length(new_s) - 1), '|'), lambda x: substr(md5(x), 1, 16) || '=' || x), '|') as new_tree
+  from h
 )
 select doc_id, n_chars, sha256(edited) as edited_sha256, sha256(own_tree) || ':' || own_tree as fingerprint,
   sha256(new_tree) || ':' || new_tree as edited_fingerprint,
   cast(2 * len(list_intersect(a, b)) as double) / (len(list_distinct(a)) + len(list_distinct(b))) as near_edited,
   cast(2 * len(list_intersect(a, c)) as double) / (len(list_distinct(a)) + len(list_distinct(c))) as near_next
-from h
+from t
 """
 
 OP6_SQL = r"""
