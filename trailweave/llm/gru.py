@@ -7,11 +7,13 @@ characters. The output softmax is factored: first the class (frequent words in o
 then the tail classes), then the word in its class: by a softmax of the state for frequent words, by smoothed counts for
 the others, (c + 0.5) / (N of the class + 0.5 * (its words + 1)). Output biases start at the logs of the counts.
 
-Texts stand one after another in lanes that advance in step; the state starts at zero with each text and is carried
-across windows of ``WINDOW`` tokens, through which the gradient is cut (truncated backpropagation, Adam). Each task
-trains on all its training texts; in each of ``ROUNDS`` rounds, which take different texts, the tasks' weights are
-averaged by tokens, in groups of 64 until few are left, so the driver holds a bounded number of weight vectors. All
-training texts are learnt from once, and every text is scored whole.
+The texts, by then short rows of symbols, are dealt to parts of about ``PART_TOKENS`` tokens by a hash of id and symbols,
+and stand in order of id there, so scores depend on the table alone, not on how its rows reach the tasks. Texts stand one
+after another in lanes that advance in step; the state starts at zero with each text and is carried across windows of
+``WINDOW`` tokens, through which the gradient is cut (truncated backpropagation, Adam). Each part learns from its
+training texts; in each of ``ROUNDS`` rounds, which take different texts, the parts' weights are averaged by tokens, in
+groups of 64 until few are left, so the driver holds a bounded number of weight vectors. All training texts are learnt
+from once, and every text is scored whole.
 
 Null text is empty: one token, the end. A null id counts as the empty text in the held-out rule. Repeated rows are
 separate texts. Without any training text the base score is log10(0.5 / 0.5) = 0 a token. An empty table gives no rows.
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import forget, staged
 
 TOP, WIDE, TAILS = 2048, 64, 64
 FREQUENT = TOP // WIDE
@@ -39,8 +41,9 @@ WINDOW = 16
 LANES = 512
 ROUNDS = 2
 RATE = 0.01
-BLOCK_BYTES = 4_000_000
-PART_TOKENS = 8_000_000
+BLOCK_BYTES = 8_000_000
+PART_TOKENS = 2_000_000
+MAX_TASKS = 20_000
 SHAPES = {"G": (SYMBOLS, 3 * HIDDEN), "U": (HIDDEN, 3 * HIDDEN), "Wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "Ww": (FREQUENT, HIDDEN, WIDE), "bw": (FREQUENT, WIDE)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
@@ -268,12 +271,13 @@ def blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def encoded(parts: DataFrame, words: DataFrame, n: int, v: int, tails: list[tuple[int, int]], ends: int) -> DataFrame:
-    """Per block: ids, held, sizes, known words, base score and tail part of the score of each text, and the symbols."""
+    """Per text: doc_id, held, size, known words, base score and tail part of the score, and the symbols."""
     tail_total = np.array([a + 0.5 * (b + 1) for a, b in tails])
+    columns = ["doc_id", "held", "size", "known", "base", "tail", "seq"]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame(columns=["block", "ids", "held", "sizes", "known", "base", "tail", "seq"])
+            return pd.DataFrame(columns=columns)
         b, m = left.iloc[0], len(right)
         count, symbol = np.zeros(m, np.int64), np.zeros(m, np.int32)
         count[right["idx"]], symbol[right["idx"]] = right["c"], right["symbol"]
@@ -282,48 +286,69 @@ def encoded(parts: DataFrame, words: DataFrame, n: int, v: int, tails: list[tupl
         per_base = np.log10((count + 0.5) / total)
         at = np.maximum(symbol - TOP, 0)
         per_tail = np.where(symbol >= TOP, np.log10((count + 0.5) / tail_total[at]), 0.0)
-        edges = np.r_[0, np.cumsum(b["sizes"])].astype(np.int64)
-        sums = lambda x: np.diff(np.r_[0.0, np.cumsum(x[seq])][edges]) if seq.size else np.zeros(len(edges) - 1)
-        known = np.rint(sums((count > 0).astype(float))).astype(np.int64) + (ends > 0)
-        base = np.array([per_base[seq[i:j]].sum() for i, j in zip(edges[:-1], edges[1:], strict=True)]) + np.log10((ends + 0.5) / total)
-        tail = np.array([per_tail[seq[i:j]].sum() for i, j in zip(edges[:-1], edges[1:], strict=True)])
-        return pd.DataFrame({"block": [b["block"]], "ids": [b["ids"]], "held": [b["held"]], "sizes": [b["sizes"]], "known": [known], "base": [base], "tail": [tail], "seq": [symbol[seq].astype("<u2").tobytes()]})
-
-    schema = "block long, ids array<string>, held array<boolean>, sizes array<int>, known array<bigint>, base array<double>, tail array<double>, seq binary"
+        edges = np.r_[0, np.cumsum(b["sizes"])].astype(np.int64).tolist()
+        cuts = list(zip(edges[:-1], edges[1:], strict=True))
+        bases, tailed, known, symbols = per_base[seq], per_tail[seq], count[seq] > 0, symbol[seq].astype("<u2")
+        end = np.log10((ends + 0.5) / total)
+        rows = [(b["ids"][k], bool(b["held"][k]), j - i, int(known[i:j].sum()) + (ends > 0), bases[i:j].sum() + end, tailed[i:j].sum(), symbols[i:j].tobytes()) for k, (i, j) in enumerate(cuts)]
+        return pd.DataFrame(rows, columns=columns)
+
+    schema = "doc_id string, held boolean, size int, known bigint, base double, tail double, seq binary"
     return parts.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(run, schema)
 
 
+def dealt(texts: DataFrame, tokens: int) -> DataFrame:
+    """One row per part: part, and arrays ids, held, sizes, known, base, tail, and the symbols of its texts in a row."""
+    parts = max(1, -(-tokens // PART_TOKENS))
+    tasks = min(parts, MAX_TASKS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def row(part, rows):
+            columns = {name: [[r[i] for r in rows]] for i, name in enumerate(("ids", "held", "sizes", "known", "base", "tail"))}
+            return pd.DataFrame({"part": [part], **columns, "seq": [b"".join(r[6] for r in rows)]})
+
+        part, rows = None, []
+        for batch in batches:
+            for p, *r in zip(*(batch[c].tolist() for c in ("part", "doc_id", "held", "size", "known", "base", "tail", "seq")), strict=True):
+                if p != part and rows:
+                    yield row(part, rows)
+                    rows = []
+                part = p
+                rows.append(r)
+        if rows:
+            yield row(part, rows)
+
+    rows = texts.withColumn("part", F.pmod(F.xxhash64("doc_id", "seq"), F.lit(parts)))
+    rows = rows.repartitionById(tasks, (F.col("part") % tasks).cast("int")).sortWithinPartitions("part", "doc_id", "seq")
+    return rows.mapInPandas(run, "part long, ids array<string>, held array<boolean>, sizes array<int>, known array<bigint>, base array<double>, tail array<double>, seq binary")
+
+
 def texts_of(row) -> list[np.ndarray]:
     seq = np.frombuffer(row.seq, "<u2").astype(np.int32)
     return np.split(seq, np.cumsum(row.sizes)[:-1])
 
 
 def trained(rows: DataFrame, weights: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """The weights after ``rounds`` rounds, in each of which all tasks learn from their share of the training texts."""
+    """The weights after ``rounds`` rounds, in each of which every part learns from its share of the training texts."""
     for k in range(rounds):
         start, rate = weights, RATE / (1 + k)
 
         def run(batches: Iterator[pd.DataFrame], start=start, rate=rate, k=k) -> Iterator[pd.DataFrame]:
-            # texts take turns by their place in the block, so each is learnt from in exactly one round
-            own, texts, tokens, all_tokens = start, [], 0, 0
+            # texts take turns by their place in the part, so each is learnt from in exactly one round
             for batch in batches:
                 for row in batch.itertuples(index=False):
-                    new = [t for i, (t, h) in enumerate(zip(texts_of(row), row.held, strict=True)) if not h and i % rounds == k]
-                    texts += new
-                    tokens += sum(t.size + 1 for t in new)
-                    if tokens >= PART_TOKENS:
-                        own, texts, tokens, all_tokens = learn(own, texts, rate), [], 0, all_tokens + tokens
-            if texts:
-                own, all_tokens = learn(own, texts, rate), all_tokens + tokens
-            if all_tokens:
-                yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "tokens": [all_tokens], "w": [(own * all_tokens).astype(np.float64).tobytes()]})
+                    texts = [t for i, (t, h) in enumerate(zip(texts_of(row), row.held, strict=True)) if not h and i % rounds == k]
+                    if texts:
+                        tokens = sum(t.size + 1 for t in texts)
+                        yield pd.DataFrame({"part": [row.part], "tokens": [tokens], "w": [(learn(start, texts, rate) * tokens).astype(np.float64).tobytes()]})
 
         def added(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("part")
             w = sum(np.frombuffer(x, np.float64) for x in group["w"])
             return pd.DataFrame({"part": [int(group["part"].iloc[0]) // 64], "tokens": [int(group["tokens"].sum())], "w": [w.tobytes()]})
 
         schema = "part long, tokens long, w binary"
-        sums = staged(rows.select("held", "sizes", "seq").mapInPandas(run, schema), "gru-weights")
+        sums = staged(rows.select("part", "held", "sizes", "seq").mapInPandas(run, schema), "gru-weights")
         while sums.count() > 64:
             sums = staged(sums.groupBy(F.expr("part div 64").alias("g")).applyInPandas(added, schema), "gru-weights")
         got = sums.orderBy("part").collect()
@@ -339,7 +364,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     pairs = parts.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("idx", "w")).select("block", "idx", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     by_word = Window.partitionBy("word")
     words = pairs.withColumn("c", F.sum("n").over(by_word)).withColumn("first", F.row_number().over(by_word.orderBy("block")) == 1)
-    words = staged(words.select("word", "block", "idx", "c", "first"), "gru-words")
+    words = staged_words = staged(words.select("word", "block", "idx", "c", "first"), "gru-words")
     once = words.where("first and c > 0")
     top = [r["word"] for r in once.orderBy(F.col("c").desc(), "word").select("word").limit(TOP - 1).collect()]
     spark = df.sparkSession
@@ -354,27 +379,17 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         n, v = n + r["n"], v + r["v"]
         if r["symbol"] >= TOP:
             tails[r["symbol"] - TOP] = (r["n"], r["v"])
-    rows = staged(encoded(parts.drop("words", "counts"), words.select("block", "idx", "c", "symbol"), n, v, tails, ends), "gru-texts")
+    tokens = parts.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b + 1))).first()[0] or 0
+    texts = encoded(parts.drop("words", "counts"), words.select("block", "idx", "c", "symbol"), n, v, tails, ends)
+    rows = staged(dealt(texts, tokens), "gru-texts")
+    forget(parts, staged_words)
     weights = trained(rows, first_weights(counts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_rows, tokens = [], 0
-
-        def out() -> pd.DataFrame:
-            texts = [t for row in held_rows for t in texts_of(row)]
-            like = loglik(weights, texts) / np.log(10)
-            flat = lambda name: np.concatenate([getattr(row, name) for row in held_rows])
-            return pd.DataFrame({"doc_id": flat("ids"), "held_out": flat("held"), "n_tokens": flat("sizes").astype(np.int64) + 1, "n_known": flat("known"), "base_score": flat("base"), "score": like + flat("tail")})
-
         for batch in batches:
             for row in batch.itertuples(index=False):
-                held_rows.append(row)
-                tokens += int(np.sum(row.sizes))
-                if tokens >= PART_TOKENS:
-                    yield out()
-                    held_rows, tokens = [], 0
-        if held_rows:
-            yield out()
+                like = loglik(weights, texts_of(row)) / np.log(10)
+                yield pd.DataFrame({"doc_id": row.ids, "held_out": row.held, "n_tokens": np.asarray(row.sizes, np.int64) + 1, "n_known": row.known, "base_score": row.base, "score": like + row.tail})
 
     result = rows.mapInPandas(run, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return result.select(F.col("doc_id").cast(df.schema[id_col].dataType).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

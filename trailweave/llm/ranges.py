@@ -55,15 +55,24 @@ def range_of(splitters: list[tuple[int, int]]) -> Column:
     return (coarse * width + below(F.slice(as_rows(splitters), coarse * width + 1, F.lit(width)))).cast("int")
 
 
-def with_ranges(rows: DataFrame, parts: int, slack: float = 2.0) -> tuple[DataFrame, list[dict], list[tuple[int, int]]]:
-    """``rows`` (key, weight, ...) with ``range``; per range its number, rows and weight in order; and the splitters."""
+def with_ranges(rows: DataFrame, parts: int, slack: float = 2.0, cuts: int = 1, least: float = 0.0) -> tuple[DataFrame, list[dict], list[tuple[int, int]]]:
+    """``rows`` (key, weight, ...) with ``range``; per range its number, rows and weight in order; and the splitters.
+
+    With ``cuts``, ranges that hold the border of one of so many equal shares are subdivided until they weigh ``least``.
+    """
     total = rows.agg(F.sum("weight")).first()[0] or 0
     splitters = quantiles(draw(rows, total, OVERSAMPLE * parts), parts)
     while True:  # each round adds a boundary or is the last, and ranges are numbered by the boundaries returned
         out = rows.withColumn("range", range_of(splitters))
         found = out.groupBy("range").agg(F.count("*").alias("rows"), F.sum("weight").alias("weight")).orderBy("range").collect()
-        full = [r for r in found if r["weight"] * parts > slack * total and r["rows"] > 1]
-        more = sum(math.ceil(r["weight"] * parts / total) for r in full) if full else 0
+        full, more, ahead = [], 0, 0
+        for r in found:
+            shares = lambda w: w * cuts // total if total else 0
+            overfull, border = r["weight"] * parts > slack * total, r["weight"] > least and shares(ahead) < shares(ahead + r["weight"])
+            if r["rows"] > 1 and (overfull or border and cuts > 1):
+                full.append(r)
+                more += max(math.ceil(r["weight"] * parts / total), math.ceil(2 * r["weight"] / least) if border and cuts > 1 and least else 0)
+            ahead += r["weight"]
         if not full:
             break
         within = out.where(F.col("range").isin([r["range"] for r in full]))
