@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import network, scalars, temporal
+from . import evidence, network, scalars, temporal
 
-PARTS = (scalars, temporal, network)
+PARTS = (scalars, temporal, network, evidence)
 
 
 def entry(spark, sf_dir):
