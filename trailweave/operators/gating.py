@@ -44,7 +44,7 @@ def gated(df: DataFrame, good: Column, simulated: Column, max_speed_error: float
             ("invalid_fix", ~good),
             ("simulated_by_software", simulated),
             ("physical_gate", far > gates.reach(dt, F.col("last_speed"))),
-            ("mahalanobis_gate", gates.mahalanobis(rx, ry, s, F.lit(0.0), s) > threshold),
+            ("mahalanobis_gate", F.col("last_t").isNotNull() & (gates.mahalanobis(rx, ry, s, F.lit(0.0), s) > threshold)),
             ("speed_mismatch", F.abs(F.col("speed") - F.col("last_speed")) > max_speed_error),
             ("course_mismatch", fast & (turned > max_course_error)),
         ),

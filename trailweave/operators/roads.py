@@ -111,15 +111,15 @@ def reachable(steps: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     return found
 
 
-def reachable_within(edges: DataFrame, steps: DataFrame, starts: DataFrame, budget: float, rounds: int = 12) -> DataFrame:
+def reachable_within(edges: DataFrame, steps: DataFrame, starts: DataFrame, budget: float) -> DataFrame:
     """start, edge, way, first: edges whose beginning lies within ``budget`` metres, the shortest way and its first edge.
 
-    Each round carries only the ways that it shortened, until none is left.
+    Each round carries only the ways that it shortened, until none is left; the budget ends that.
     """
     long = edges.select("edge", length().alias("len"))
     best = starts.join(long, "edge").select(F.col("edge").alias("start"), "edge", F.lit(0.0).alias("way"), F.lit(None).cast("long").alias("first"), "len")
     front = best
-    for _ in range(rounds):
+    while True:
         ahead = front.join(steps, "edge").where(F.col("way") + F.col("len") <= budget)
         ahead = ahead.select("start", F.col("next").alias("edge"), (F.col("way") + F.col("len")).alias("way"), F.coalesce("first", F.col("next")).alias("first"))
         ahead = ahead.groupBy("start", "edge").agg(F.min(F.struct("way", "first")).alias("b")).select("start", "edge", "b.way", "b.first").join(long, "edge")
@@ -128,7 +128,7 @@ def reachable_within(edges: DataFrame, steps: DataFrame, starts: DataFrame, budg
         front = cut(front)
         if front.isEmpty():
             break
-        best = best.unionByName(front).groupBy("start", "edge").agg(F.min(F.struct("way", "first", "len")).alias("b")).select("start", "edge", "b.way", "b.first", "b.len")
+        best = cut(best.unionByName(front).groupBy("start", "edge").agg(F.min(F.struct("way", "first", "len")).alias("b")).select("start", "edge", "b.way", "b.first", "b.len"))
     return best.drop("len")
 
 

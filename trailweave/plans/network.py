@@ -54,15 +54,28 @@ put("JN-16", legal, "with " + RULES + " select edge, nxt as next from ok", "node
 put("JN-17", lambda spark, d: roads.successors(edges(spark, d)).join(edges(spark, d).where("(u + v) % 7 = 0").select(c("edge").alias("next")), "next", "left_anti").select("edge", "next"), "with " + STEPS + " select s.edge, s.nxt as next from steps s join edges e on e.edge = s.nxt where (e.u + e.v) % 7 <> 0", "nodes", "edges")
 put("GR-01", lambda spark, d: edges(spark, d).select("edge", r4(roads.length()).alias("length"), r6(roads.bearing()).alias("bearing")).where("length > 0.001"), "select edge, round(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)), 4) as length, round(atan2(y1 - y0, x1 - x0), 6) as bearing from edges where sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) > 0.001e0", "nodes", "edges")
 put("GR-03", lambda spark, d: roads.clipped(edges(spark, d), 1000.0, 1000.0, 900.0).select("edge"), "select edge from edges where sqrt(pow(x0 - 1000.0e0, 2) + pow(y0 - 1000.0e0, 2)) <= 900.0e0 and sqrt(pow(x1 - 1000.0e0, 2) + pow(y1 - 1000.0e0, 2)) <= 900.0e0", "nodes", "edges")
-put("GR-04", lambda spark, d: roads.reachable(roads.successors(edges(spark, d)), edges(spark, d).where("u = 0"), 4), "with recursive " + STEPS.replace("steps as", "steps as") + ", w as (select edge as start, edge, 0 as hops from edges where u = 0 union select w.start, s.nxt, w.hops + 1 from w join steps s on s.edge = w.edge where w.hops < 4) select start, edge, min(hops) as hops from w group by 1, 2", "nodes", "edges")
-put("GR-05", lambda spark, d: roads.reachable_within(edges(spark, d), legal(spark, d), edges(spark, d).where("u in (0, 12)"), 2200.0).select("start", "edge", r4(c("way")).alias("way")), "with recursive " + RULES + ", l as (select edge, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) as len, u from edges), w as (select edge as start, edge, 0.0e0 as way, 0 as n from l where u in (0, 12) union all select w.start, s.nxt, w.way + l.len, w.n + 1 from w join l on l.edge = w.edge join ok s on s.edge = w.edge where w.way + l.len <= 2200.0e0 and w.n < 12) select start, edge, round(min(way), 4) as way from w group by 1, 2", "nodes", "edges")
+put("GR-04", lambda spark, d: roads.reachable(roads.successors(edges(spark, d)), edges(spark, d), 4), "with recursive " + STEPS.replace("steps as", "steps as") + ", w as (select edge as start, edge, 0 as hops from edges union select w.start, s.nxt, w.hops + 1 from w join steps s on s.edge = w.edge where w.hops < 4) select start, edge, min(hops) as hops from w group by 1, 2", "nodes", "edges")
+put("GR-05", lambda spark, d: roads.reachable_within(edges(spark, d), legal(spark, d), edges(spark, d), 2200.0).select("start", "edge", r4(c("way")).alias("way")), "with recursive " + RULES + ", l as (select edge, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) as len, u from edges), w as (select edge as start, edge, 0.0e0 as way from l union all select w.start, s.nxt, w.way + l.len from w join l on l.edge = w.edge join ok s on s.edge = w.edge where w.way + l.len <= 2200.0e0) select start, edge, round(min(way), 4) as way from w group by 1, 2", "nodes", "edges")
 TURN = STEPS + ", b as (select edge, atan2(y1 - y0, x1 - x0) as b, highway as h from edges), t as (select s.edge, s.nxt, x.h as h0, y.h as h1, y.b - x.b + pi() - 2.0e0 * pi() * floor((y.b - x.b + pi()) / (2.0e0 * pi())) - pi() as turn from steps s join b x on x.edge = s.edge join b y on y.edge = s.nxt)"
 put("GR-11", lambda spark, d: roads.turns(edges(spark, d), roads.successors(edges(spark, d))).select("edge", "next", r6(c("turn")).alias("turn")), "with " + TURN + " select edge, nxt as next, 0.0e0 + round(turn, 6) as turn from t", "nodes", "edges")
 put("GR-13", lambda spark, d: edges(spark, d).groupBy("u").agg(F.array_join(F.array_sort(F.collect_list("edge")).cast("array<string>"), ",").alias("out")), "select u, array_to_string(list_sort(list(edge)), ',') as out from edges group by 1", "nodes", "edges")
 _rank = "case {} when 'primary' then 4.0e0 when 'secondary' then 3.0e0 when 'residential' then 1.0e0 else -1.0e0 end"
 put("GR-15", lambda spark, d: roads.class_prior(roads.turns(edges(spark, d), roads.successors(edges(spark, d)))).select("edge", "next", F.round(c("prior") + 0.0, 6).alias("prior")), "with " + TURN + " select edge, nxt as next, 0.0e0 + round(-0.5e0 * greatest(0.0e0, " + _rank.format("h0") + " - " + _rank.format("h1") + "), 6) as prior from t", "nodes", "edges")
 put("GR-16", lambda spark, d: roads.turns(edges(spark, d), roads.successors(edges(spark, d))).where("turn > 0").groupBy("edge").agg(r6(F.min(F.abs(F.degrees("turn") - 70.0))).alias("gap")), "with " + TURN + " select edge, round(min(abs(degrees(turn) - 70.0e0)), 6) as gap from t where turn > 0 group by 1", "nodes", "edges")
-put("AG-12", lambda spark, d: roads.nearest(points(spark, d), edges(spark, d), 1, 60.0).join(points(spark, d).where("point % 7 = 0"), "point").groupBy((c("point") % 10).alias("trip")).agg(r4(F.expr("percentile(offset, 0.5)")).alias("median"), r4(F.max("offset")).alias("worst")), "with " + HIT + ", m as (select point, min(off) as o from h where point % 7 = 0 group by 1) select point % 10 as trip, round(quantile_cont(o, 0.5), 4) as median, round(max(o), 4) as worst from m group by 1", "nodes", "edges", "points")
+
+
+def graph_fit(spark, d):
+    """Per trip of points: distances to the road over every n div 60-th point, and whether they are too far."""
+    w = Window.partitionBy("trip").orderBy("point")
+    rows = points(spark, d).withColumn("trip", c("point") % 10).withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("trip")))
+    rows = rows.where(c("i") % F.greatest(F.lit(1), F.floor(c("n") / 60)) == 0)
+    near = roads.nearest(rows.select("point", "px", "py"), edges(spark, d), 1, 60.0).join(rows.select("point", "trip"), "point")
+    return near.groupBy("trip").agg(F.count("*").alias("checked"), r4(F.expr("percentile(offset, 0.5)")).alias("median"), r4(F.max("offset")).alias("worst"), (F.expr("percentile(offset, 0.5)") > 30.0).alias("warning"))
+
+
+put("AG-12", graph_fit, "with " + HIT + """, p as (select point, point % 10 as trip, row_number() over (partition by point % 10 order by point) - 1 as i, count(*) over (partition by point % 10) as n from points
+), m as (select h.point, any_value(trip) as trip, min(off) as o from h join p on p.point = h.point where i % greatest(1, n // 60) = 0 group by 1)
+select trip, count(*) as checked, round(quantile_cont(o, 0.5), 4) as median, round(max(o), 4) as worst, quantile_cont(o, 0.5) > 30.0e0 as warning from m group by 1""", "nodes", "edges", "points")
 
 FAULTS = [("offset", 100.0, 200.0, 300.0, -40.0), ("drift", 250.0, 400.0, 2.0, 1.0), ("dropout", 500.0, 560.0, 0.0, 0.0)]
 F_SQL = "f as (select *, t >= 100.0e0 and t < 200.0e0 as o, t >= 250.0e0 and t < 400.0e0 as dr, t >= 500.0e0 and t < 560.0e0 as dp from fixes)"

@@ -136,7 +136,7 @@ put("JN-02", joined(lambda a, b: asof.backward(a, b, ["trip_id"], ["re", "rn"],
 put("JN-01", joined(lambda a, b: asof.nearest(a, b, ["trip_id"], ["re", "rn"], 10.0)), ASOF + "select trip_id, seq, round(case when least(coalesce(t - tb, tn - t), coalesce(tn - t, t - tb)) <= 10.0e0 then case when tn is null or t - tb <= tn - t then pe else qe end end, 6) as re, round(case when least(coalesce(t - tb, tn - t), coalesce(tn - t, t - tb)) <= 10.0e0 then case when tn is null or t - tb <= tn - t then pn else qn end end, 6) as rn from j", "fixes", "reference")
 put("JN-03", joined(lambda a, b: asof.interpolated(a, b, ["trip_id"], ["re", "rn"], 40.0)), ASOF + "select trip_id, seq, round(" + LERP.format(g="40.0e0", e="") + ", 6) as re, round(" + LERP.format(g="40.0e0", e="").replace("pe", "pn").replace("qe", "qn") + ", 6) as rn from j", "fixes", "reference")
 put("JN-04", joined(lambda a, b: asof.interpolated(a, b, ["trip_id"], ["re", "rn"], None, clamp=True)), ASOF + "select trip_id, seq, round(" + LERP.format(g="1e18", e="when tn is null then pe when tb is null then qe") + ", 6) as re, round(" + LERP.format(g="1e18", e="when tn is null then pe when tb is null then qe").replace("pe", "pn").replace("qe", "qn") + ", 6) as rn from j", "fixes", "reference")
-put("JN-23", lambda spark, d: asof.backward(fixes(spark, d).select("trip_id", "seq", "t"), reference(spark, d).withColumn("edge", c("re").cast("long") % 9), ["trip_id"], ["edge"]).select("trip_id", "seq", "edge"), ASOF + "select trip_id, seq, cast(trunc(pe) as bigint) % 9 as edge from j", "fixes", "reference")
+put("JN-23", lambda spark, d: asof.backward(fixes(spark, d).select("trip_id", "seq", "t"), reference(spark, d).withColumn("edge", c("re").cast("long") % 9), ["trip_id"], ["edge"]).join(reference(spark, d).groupBy("trip_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.min_by(c("re").cast("long") % 9, "t").alias("e0")), "trip_id").select("trip_id", "seq", F.when(c("t").between(c("t0") - 2.0, c("t1") + 2.0), F.coalesce("edge", "e0")).alias("edge")), ASOF + "select j.trip_id, seq, case when t >= t0 - 2.0e0 and t <= t1 + 2.0e0 then coalesce(cast(trunc(pe) as bigint) % 9, e0) end as edge from j join (select trip_id, min(t) as t0, max(t) as t1, cast(trunc(arg_min(re, t)) as bigint) % 9 as e0 from reference group by 1) s on s.trip_id = j.trip_id", "fixes", "reference")
 
 
 def fixes_in_sessions(spark, d):
@@ -164,10 +164,10 @@ put("AG-03", lambda spark, d: errors(spark, d).where("err is not null").groupBy(
     ERR + "select trip_id, round(avg(case when err <= acc * 2 then 1.0e0 else 0.0e0 end), 6) as coverage, round(avg(acc * acc), 4) as area, count(*) as n from e where err is not null group by 1", "fixes", "reference")
 put("AG-05", lambda spark, d: states(spark, d).groupBy("trip_id").agg(r6(F.try_divide(F.count_if(~c("accepted") & (c("k") % 4 != 0)), F.count_if(c("k") % 4 != 0))).alias("rejected_good"), r6(F.try_divide(F.count_if(c("accepted") & (c("k") % 4 == 0)), F.count_if(c("k") % 4 == 0))).alias("accepted_false")),
     "select trip_id, round(cast(count(*) filter (where not accepted and k % 4 <> 0) as double) / nullif(count(*) filter (where k % 4 <> 0), 0), 6) as rejected_good, round(cast(count(*) filter (where accepted and k % 4 = 0) as double) / nullif(count(*) filter (where k % 4 = 0), 0), 6) as accepted_false from states group by 1", "states")
-put("AG-07", lambda spark, d: errors(spark, d).where("err is not null").groupBy("trip_id").agg(r4(F.min_by("err", F.struct(F.abs(c("t") - 300.0), c("seq")))).alias("err")),
-    ERR + "select trip_id, round(err, 4) as err from (select *, row_number() over (partition by trip_id order by abs(t - 300.0e0), seq) as r from e where err is not null) where r = 1", "fixes", "reference")
-put("AG-08", lambda spark, d: states(spark, d).withColumn("why", F.explode(F.filter(F.array(F.when(c("k") % 3 == 0, "physical"), F.when(c("k") % 5 == 0, "speed"), F.when(~c("accepted"), "course")), lambda x: x.isNotNull()))).groupBy("why").agg(F.count("*").alias("n")),
-    "select why, count(*) as n from (select 'physical' as why from states where k % 3 = 0 union all select 'speed' from states where k % 5 = 0 union all select 'course' from states where not accepted) group by 1", "states")
+put("AG-07", lambda spark, d: errors(spark, d).where("err is not null").groupBy("trip_id").agg(r4(F.min_by(F.when(F.abs(c("t") - 300.0) <= 2.0, c("err")), F.struct(F.abs(c("t") - 300.0), c("seq")))).alias("err")),
+    ERR + "select trip_id, case when abs(t - 300.0e0) <= 2.0e0 then round(err, 4) end as err from (select *, row_number() over (partition by trip_id order by abs(t - 300.0e0), seq) as r from e where err is not null) where r = 1", "fixes", "reference")
+put("AG-08", lambda spark, d: states(spark, d).withColumn("whys", F.filter(F.array(F.when(c("k") % 3 == 0, "physical"), F.when(c("k") % 5 == 0, "speed"), F.when(~c("accepted"), "course")), lambda x: x.isNotNull())).withColumn("why", F.explode(F.array_union(c("whys"), F.array(F.lit("tested"), F.when(F.size("whys") == 0, "accepted").otherwise("rejected"))))).groupBy("trip_id").pivot("why", ["tested", "accepted", "rejected", "physical", "speed", "course"]).count().na.fill(0),
+    "select trip_id, count(*) as tested, count(*) filter (where k % 3 <> 0 and k % 5 <> 0 and accepted) as accepted, count(*) filter (where k % 3 = 0 or k % 5 = 0 or not accepted) as rejected, count(*) filter (where k % 3 = 0) as physical, count(*) filter (where k % 5 = 0) as speed, count(*) filter (where not accepted) as course from states group by 1", "states")
 put("AG-11", lambda spark, d: imu(spark, d).groupBy("trip_id", F.floor(c("n") / 20).alias("bucket")).agg(r6(F.expr("percentile(abs(a_long), 0.9)")).alias("a90"), r6(F.expr("percentile(abs(yaw), 0.9)")).alias("w90"), F.count_if(F.abs("a_long") > 1.8).alias("shocks"), r6(F.avg((F.abs("yaw") < 0.03).cast("double"))).alias("quiet")),
     "select trip_id, n // 20 as bucket, round(quantile_cont(abs(a_long), 0.9), 6) as a90, round(quantile_cont(abs(yaw), 0.9), 6) as w90, count(*) filter (where abs(a_long) > 1.8e0) as shocks, round(avg(case when abs(yaw) < 0.03e0 then 1.0e0 else 0.0e0 end), 6) as quiet from imu group by 1, 2", "imu")
 put("AG-13", lambda spark, d: reference(spark, d).withColumn("dt", c("t") - F.lag("t").over(Window.partitionBy("trip_id").orderBy("t"))).withColumn("step", F.hypot(c("re") - F.lag("re").over(Window.partitionBy("trip_id").orderBy("t")), c("rn") - F.lag("rn").over(Window.partitionBy("trip_id").orderBy("t")))).groupBy("trip_id").agg(F.count_if(c("step") > 60 * c("dt")).alias("wild"), F.count_if(c("dt") > 20.0).alias("gaps")),
@@ -176,10 +176,23 @@ put("AG-14", lambda spark, d: fixes(spark, d).select("trip_id", "seq", F.round((
     'select trip_id, seq, 0.0e0 + round((k - 50) * cos(course / 60.0e0) + speed * sin(course / 60.0e0), 6) as along, 0.0e0 + round(-(k - 50) * sin(course / 60.0e0) + speed * cos(course / 60.0e0), 6) as "cross" from fixes', "fixes")
 put("AG-26", lambda spark, d: fixes(spark, d).withColumn("v", c("course") / 20.0).groupBy("trip_id").agg(r6(F.avg(c("speed") - c("v"))).alias("bias"), r6(F.avg(F.abs(c("speed") - c("v")))).alias("mae"), r6(F.sqrt(F.avg(F.pow(c("speed") - c("v"), 2)))).alias("rmse"), r6(F.when(F.count("*") > 2, F.corr("speed", "v"))).alias("corr"), r6(F.try_divide(F.stddev_pop("speed"), F.stddev_pop("v"))).alias("spread")),
     "select trip_id, round(avg(speed - v), 6) as bias, round(avg(abs(speed - v)), 6) as mae, round(sqrt(avg(pow(speed - v, 2))), 6) as rmse, round(case when count(*) > 2 then corr(speed, v) end, 6) as corr, round(stddev_pop(speed) / nullif(stddev_pop(v), 0), 6) as spread from (select *, course / 20.0e0 as v from fixes) group by 1", "fixes")
+def held_out(spark, d):
+    """Leave one trip out: the mean of all other trips as the prediction for it, and its errors there.
+
+    The totals are one row of partial sums, so no task sees all trips.
+    """
+    sums = fixes(spark, d).groupBy("trip_id").agg(F.sum("k").alias("s"), F.count("*").alias("n"))
+    total, count = sums.agg(F.sum("s"), F.sum("n")).first()
+    others = sums.select("trip_id", ((F.lit(total) - c("s")) / (F.lit(count) - c("n"))).alias("others"))
+    rows = fixes(spark, d).select("trip_id", "k").join(others, "trip_id")
+    return rows.groupBy("trip_id").agg(F.count("*").alias("n"), r6(F.first("others")).alias("others"), r6(F.avg(F.abs(c("k") - c("others")))).alias("mae"), (r6(F.avg(c("k") - c("others"))) + 0.0).alias("bias"))
+
+
 put("AG-29", lambda spark, d: fixes(spark, d).groupBy(F.floor(c("speed") / 5).alias("bin")).agg(F.count("*").alias("n"), r6(F.avg("acc")).alias("mean"), r6(F.stddev_pop("acc")).alias("sd"), *[r6(F.expr(f"percentile(acc, {q})")).alias(f"p{int(q * 100)}") for q in (0.1, 0.25, 0.5, 0.75, 0.9)]),
     "select cast(floor(speed / 5) as bigint) as bin, count(*) as n, round(avg(acc), 6) as mean, round(stddev_pop(acc), 6) as sd, " + ", ".join(f"round(quantile_cont(acc, {q}), 6) as p{int(q * 100)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9)) + " from fixes group by 1", "fixes")
-put("AG-31", lambda spark, d: fixes(spark, d).groupBy("trip_id").agg(F.sum("k").alias("s"), F.count("*").alias("n")).select("trip_id", r6((F.sum("s").over(Window.partitionBy()) - c("s")) / (F.sum("n").over(Window.partitionBy()) - c("n"))).alias("others")),
-    "select trip_id, round(cast(sum(s) over () - s as double) / (sum(n) over () - n), 6) as others from (select trip_id, sum(k) as s, count(*) as n from fixes group by 1)", "fixes")
+put("AG-31", lambda spark, d: held_out(spark, d),
+    """with g as (select trip_id, sum(k) as s, count(*) as n from fixes group by 1), o as (select trip_id, cast((select sum(s) from g) - s as double) / ((select sum(n) from g) - n) as others from g)
+select f.trip_id, count(*) as n, round(any_value(others), 6) as others, round(avg(abs(k - others)), 6) as mae, 0.0e0 + round(avg(k - others), 6) as bias from fixes f join o on o.trip_id = f.trip_id group by 1""", "fixes")
 put("AG-32", lambda spark, d: fixes(spark, d).groupBy("event_type").agg(r6(F.avg(F.abs(c("k") - c("speed")))).alias("mae"), r6(F.sqrt(F.avg(F.pow(c("k") - c("speed"), 2)))).alias("rmse"), r6(F.avg(c("speed") - c("k"))).alias("bias"), r6(1 - F.sum(F.pow(c("k") - c("speed"), 2)) / (F.var_pop("k") * F.count("*"))).alias("r2")),
     "select event_type, round(avg(abs(k - speed)), 6) as mae, round(sqrt(avg(pow(k - speed, 2))), 6) as rmse, round(avg(speed - k), 6) as bias, round(1 - sum(pow(k - speed, 2)) / (var_pop(k) * count(*)), 6) as r2 from fixes group by 1", "fixes")
 
@@ -205,8 +218,8 @@ P = "p as (select *, w / sum(w) over (partition by trip_id) as q from particles)
 norm = lambda spark, d: belief.normalized(particles(spark, d))
 put("AG-19", lambda spark, d: norm(spark, d).select("trip_id", "i", F.round("w", 9).alias("w")), "with " + P + "select trip_id, i, round(q, 9) as w from p", "particles")
 put("AG-18", lambda spark, d: norm(spark, d).groupBy("trip_id").agg(r6(belief.effective_size(c("w"))).alias("ess")), "with " + P + "select trip_id, round(1.0e0 / sum(q * q), 6) as ess from p group by 1", "particles")
-for key in ("AG-16", "AG-17"):
-    put(key, lambda spark, d: particles(spark, d).groupBy("trip_id").agg(*[r6(x).alias(n) for x, n in zip(belief.circular(c("heading"), c("w")), ("heading", "length"), strict=True)]), "select trip_id, round(atan2(sum(w * sin(heading)), sum(w * cos(heading))), 6) as heading, round(sqrt(pow(sum(w * cos(heading)), 2) + pow(sum(w * sin(heading)), 2)) / sum(w), 6) as length from particles group by 1", "particles")
+put("AG-17", lambda spark, d: particles(spark, d).groupBy("trip_id").agg(*[r6(x).alias(n) for x, n in zip(belief.circular(c("heading"), c("w")), ("heading", "length"), strict=True)]), "select trip_id, round(atan2(sum(w * sin(heading)), sum(w * cos(heading))), 6) as heading, round(sqrt(pow(sum(w * cos(heading)), 2) + pow(sum(w * sin(heading)), 2)) / sum(w), 6) as length from particles group by 1", "particles")
+put("AG-16", lambda spark, d: particles(spark, d).groupBy("trip_id").agg(*[x.alias(n) for x, n in zip(belief.circular(c("heading"), c("w")), ("heading", "length"), strict=True)]).select("trip_id", r6("heading").alias("heading"), r6(F.sqrt(-2 * F.log(F.least(F.greatest("length", F.lit(1e-12)), F.lit(1.0))))).alias("spread")), "select trip_id, round(atan2(sum(w * sin(heading)), sum(w * cos(heading))), 6) as heading, round(sqrt(-2 * ln(least(1.0e0, greatest(1e-12, sqrt(pow(sum(w * cos(heading)), 2) + pow(sum(w * sin(heading)), 2)) / sum(w))))), 6) as spread from particles group by 1", "particles")
 put("AG-20", lambda spark, d: norm(spark, d).groupBy("trip_id", "edge").agg(r6(F.sum("w")).alias("mass")), "with " + P + "select trip_id, edge, round(sum(q), 6) as mass from p group by 1, 2", "particles")
 put("AG-21", lambda spark, d: norm(spark, d).groupBy("trip_id", "edge").agg(F.sum("w").alias("m")).groupBy("trip_id").agg(r6(F.exp(-F.sum(c("m") * F.log("m")))).alias("streets")), "with " + P + "select trip_id, round(exp(-sum(m * ln(m))), 6) as streets from (select trip_id, edge, sum(q) as m from p group by 1, 2) group by 1", "particles")
 put("AG-23", lambda spark, d: belief.merged(norm(spark, d)).select("trip_id", "edge", "cell", r6(c("best")).alias("best"), r6(c("mass")).alias("mass"), "n"), "with " + P + "select trip_id, edge, cast(floor(s / 8.0e0) as bigint) as cell, round(max(ln(q)), 6) as best, round(ln(sum(q)), 6) as mass, count(*) as n from p group by 1, 2, 3", "particles")
