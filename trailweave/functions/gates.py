@@ -88,15 +88,21 @@ def deployment_sigma(sigma: Column, gap: Column) -> Column:
     return clip(sigma * clip(gap, 1.5, 3.0), 1.5, 20.0)
 
 
+#: What a turn of the vehicle is taken for: the shape of its yaw rate ("corner", "curve" or "plain", a turn may be only one
+#: of them), whether the map has a junction and whether it has a bend there.
+TURN_KINDS = {
+    # shape: (junction and bend, junction only, bend only, neither)
+    "corner": ("junction", "junction", "bend", "reject"),
+    "curve": ("bend", "junction", "bend", "reject"),
+    "plain": ("ambiguous", "junction", "bend", "reject"),
+}
+
+
 def classify_event(delta: Column, peak: Column, duration: Column, bend: Column, gap_deg: Column) -> Column:
-    """junction, bend, ambiguous or reject, from the shape of a turn and what the map offers."""
-    compact = F.abs(delta) / F.greatest(peak * duration, F.lit(1e-6))
-    junction, peaky, spread = gap_deg < 18.0, (peak > 0.18) & (compact > 0.75), (peak < 0.16) & (duration > 6.0)
-    return (
-        F.when(peaky & junction & ~(spread & bend), "junction")
-        .when(spread & bend & ~peaky, "bend")
-        .when(bend & junction, "ambiguous")
-        .when(bend, "bend")
-        .when(junction, "junction")
-        .otherwise("reject")
-    )
+    """junction, bend, ambiguous or reject, by ``TURN_KINDS``: a corner is fast and keeps up most of its peak rate, a curve
+    is slow and long, and a junction counts if its nearest branch lies within 18 degrees of the turn."""
+    filled = F.abs(delta) / F.greatest(peak * duration, F.lit(1e-6))
+    shape = F.when((peak > 0.18) & (filled > 0.75), "corner").when((peak < 0.16) & (duration > 6.0), "curve").otherwise("plain")
+    column = F.when(gap_deg < 18.0, F.when(bend, 0).otherwise(1)).otherwise(F.when(bend, 2).otherwise(3))
+    table = F.create_map(*[x for shape_, kinds in TURN_KINDS.items() for x in (F.lit(shape_), F.array(*map(F.lit, kinds)))])
+    return F.get(table[shape], column)

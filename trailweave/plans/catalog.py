@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, network, scalars, temporal
+from . import evidence, files, motion, network, scalars, temporal
 
-PARTS = (scalars, temporal, network, evidence)
+PARTS = (scalars, temporal, network, evidence, motion, files)
 
 
 def entry(spark, sf_dir):

@@ -151,12 +151,12 @@ put("AG-28", lambda spark, d: rounded(scores.deaths(frames(spark, d), 50.0)),
     "with " + FRAMES + """, x as (select *, list_position(top, truth) is not null and list_position(top, truth) > 0 as alive from fr), y as (select trip_id, max(case when alive then t end) as la, min(case when not alive then t end) as f0 from x group by 1)
 select x.trip_id, round(any_value(f0), 6) as first_loss, round(min(case when la is null or t > la then t end), 6) as permanent_loss, case when any_value(f0) is not null then count(*) filter (where alive and t < f0 and t >= f0 - 50.0e0) end as held_before from x join y on y.trip_id = x.trip_id group by 1""", "fixes")
 
-put("AG-27", lambda spark, d: rounded(scores.calibration(fixes(spark, d).select("trip_id", "seq", "t", (c("seq") * 25.0 + c("k")).alias("way"), (10.0 + c("k")).alias("sigma"), c("speed").alias("true_speed"), F.lit(1.0).alias("dt"))), 6),
+put("AG-27", lambda spark, d: rounded(scores.calibration(fixes(spark, d).select("trip_id", "seq", "t", (c("seq") * 25.0 + c("k")).alias("way"), (10.0 + c("k")).alias("sigma"), c("speed").alias("true_speed"), F.lit(1.0).alias("dt"))), 5),
     """with a as (select trip_id, seq, seq * 25.0e0 + k as way, 10.0e0 + k as sigma, sum(speed * 1.0e0) over (partition by trip_id order by seq) as s from fixes
 ), b as (select *, s - first_value(s) over w + first_value(way) over w as truth from a window w as (partition by trip_id order by seq rows between unbounded preceding and unbounded following)
 ), e as (select *, way - truth as err, abs((way - truth) / sigma) as z from b)
-select trip_id, round(case when abs(arg_max(truth, seq)) > 1 then arg_max(way, seq) / arg_max(truth, seq) end, 6) as ratio, round(avg(abs(err)), 6) as mean, round(quantile_cont(abs(err), 0.5), 6) as median, round(max(abs(err)), 6) as worst,
-  round(avg(case when z <= 1 then 1.0e0 else 0.0e0 end), 6) as within1, round(avg(case when z <= 2 then 1.0e0 else 0.0e0 end), 6) as within2, round(quantile_cont(z, 0.5), 6) as median_z from e group by 1""", "fixes")
+select trip_id, round(case when abs(arg_max(truth, seq)) > 1 then arg_max(way, seq) / arg_max(truth, seq) end, 5) as ratio, round(avg(abs(err)), 5) as mean, round(quantile_cont(abs(err), 0.5), 5) as median, round(max(abs(err)), 5) as worst,
+  round(avg(case when z <= 1 then 1.0e0 else 0.0e0 end), 5) as within1, round(avg(case when z <= 2 then 1.0e0 else 0.0e0 end), 5) as within2, round(quantile_cont(z, 0.5), 5) as median_z from e group by 1""", "fixes")
 
 
 def updates(spark, d):
