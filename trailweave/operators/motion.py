@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TRIP = Window.partitionBy("trip_id").orderBy("n")
+def by_trip():
+    return Window.partitionBy("trip_id").orderBy("n")
 
 
 def thinned(df: DataFrame, spacing: float) -> DataFrame:
@@ -43,8 +44,9 @@ def leaky(df: DataFrame, value: str, tau: float) -> DataFrame:
     return df.select("trip_id", "n", "t", value).groupBy("trip_id").applyInPandas(run, "trip_id long, n long, leaky double")
 
 
-def gradient(x: Column, t: Column, w=TRIP) -> Column:
+def gradient(x: Column, t: Column) -> Column:
     """Derivative by central differences for uneven steps, one-sided at the ends; null for a single row."""
+    w = by_trip()
     before, after = t - F.lag(t).over(w), F.lead(t).over(w) - t
     down, up = F.lag(x).over(w), F.lead(x).over(w)
     middle = (before * before * up + (after * after - before * before) * x - after * after * down) / (before * after * (before + after))
@@ -58,10 +60,10 @@ def angular_velocity(df: DataFrame) -> DataFrame:
     """
     size = F.sqrt(sum(F.pow(F.col("q")[i], 2) for i in range(4)))
     rows = df.withColumn("q", F.transform("q", lambda v: v / size))
-    last = F.lag("q").over(TRIP)
+    last = F.lag("q").over(by_trip())
     turn = sum(F.col("q")[i] * last[i] for i in range(4)) < 0
     rows = rows.withColumn("turn", F.coalesce(turn, F.lit(False)).cast("int"))
-    odd = F.sum("turn").over(TRIP.rowsBetween(Window.unboundedPreceding, 0)) % 2
+    odd = F.sum("turn").over(by_trip().rowsBetween(Window.unboundedPreceding, 0)) % 2
     rows = rows.withColumn("s", 1 - 2 * odd).select("trip_id", "n", "t", *[(F.col("q")[i] * F.col("s")).alias(k) for i, k in enumerate("abcd")])
     a, b, c, d = F.col("a"), -F.col("b"), -F.col("c"), -F.col("d")
     rows = rows.select("*", *[gradient(F.col(k), F.col("t")).alias(f"d{k}") for k in "abcd"])
@@ -70,8 +72,9 @@ def angular_velocity(df: DataFrame) -> DataFrame:
     return rows.select("trip_id", "n", *[(2 * v).alias(k) for k, v in out.items()])
 
 
-def padded_mean(value: str, half: int, w=TRIP) -> Column:
+def padded_mean(value: str, half: int) -> Column:
     """Mean of 2 * half + 1 rows about each, the first and last value standing in for rows beyond the ends."""
+    w = by_trip()
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     i, n = F.row_number().over(w) - 1, F.count("*").over(whole)
     left, right = F.greatest(F.lit(0), half - i), F.greatest(F.lit(0), half - (n - 1 - i))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, files, motion, network, scalars, temporal
+from . import evidence, files, motion, network, places, scalars, temporal
 
-PARTS = (scalars, temporal, network, evidence, motion, files)
+PARTS = (scalars, temporal, network, evidence, motion, files, places)
 
 
 def entry(spark, sf_dir):
