@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, files, motion, network, places, scalars, temporal
+from . import evidence, files, live, motion, network, places, scalars, temporal
 
-PARTS = (scalars, temporal, network, evidence, motion, files, places)
+PARTS = (scalars, temporal, network, evidence, motion, files, places, live)
 
 
 def entry(spark, sf_dir):

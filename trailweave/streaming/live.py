@@ -14,10 +14,19 @@ from trailweave.operators.trust import Monitor
 STATE = "state string, rejected int, accepted int, last double"
 
 
-def trust(stream: DataFrame, late: str = "10 seconds", gap: float = 5.0) -> DataFrame:
-    """State after each fix (trip_id, ts, t, accepted); fixes older than the last of their trip are marked late and change nothing."""
+def trust(stream: DataFrame, late: str = "10 seconds", gap: float = 5.0, idle: int = 3600) -> DataFrame:
+    """State after each fix (trip_id, ts, t, accepted); fixes older than the last of their trip are marked late and change nothing.
+
+    A trip that is silent for ``idle`` seconds of event time is told to be LOST, ``gap`` seconds after its last fix, and its
+    state is dropped.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last = state.get[3]
+            state.remove()
+            yield pd.DataFrame([(key[0], last + gap, False, "LOST", False)], columns=["trip_id", "t", "accepted", "state", "late"])
+            return
         monitor = Monitor(gap=gap)
         if state.exists:
             monitor.state, monitor.rejected, monitor.accepted, monitor.last = state.get
@@ -30,9 +39,10 @@ def trust(stream: DataFrame, late: str = "10 seconds", gap: float = 5.0) -> Data
                 monitor.update(t, bool(ok))
             out.append((key[0], float(t), bool(ok), monitor.state, late_row))
         state.update((monitor.state, monitor.rejected, monitor.accepted, monitor.last))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle * 1000)
         yield pd.DataFrame(out, columns=["trip_id", "t", "accepted", "state", "late"])
 
-    return stream.withWatermark("ts", late).groupBy("trip_id").applyInPandasWithState(run, "trip_id long, t double, accepted boolean, state string, late boolean", STATE, "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark("ts", late).groupBy("trip_id").applyInPandasWithState(run, "trip_id long, t double, accepted boolean, state string, late boolean", STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sessions(stream: DataFrame, gap: str = "60 seconds", late: str = "10 seconds") -> DataFrame:
