@@ -6,8 +6,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from trailweave.operators import motion, photo, roads
+from trailweave.operators import motion, photo, roads, signals
 from trailweave.plans import places
 
 
@@ -85,3 +86,60 @@ def test_gaussian_mirrors_its_ends(spark):
     got = [r["smooth"] for r in motion.gaussian(spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "trip_id long, n long, v double"), "v", 1.5).orderBy("n").collect()]
     k = np.exp(-0.5 * (np.arange(-4, 5) / 1.5) ** 2)
     assert got == pytest.approx(np.convolve(np.pad(x, 4, mode="reflect"), k / k.sum(), "valid"))
+
+
+def test_random_words_equal_the_recurrence(spark):
+    seed, stream = 42, signals.STREAM
+    inc, mask, state, want = (stream << 1) | 1, 2**64 - 1, 0, []
+
+    def step():
+        nonlocal state
+        old, state = state, (state * signals.MULTIPLIER + inc) & mask
+        mixed = (((old >> 18) ^ old) >> 27) & 0xFFFFFFFF
+        turn = old >> 59
+        return ((mixed >> turn) | (mixed << (-turn & 31))) & 0xFFFFFFFF
+
+    step()
+    state = (state + seed) & mask
+    step()
+    want = [step() for _ in range(400)]
+    got = [r["w"] for r in spark.range(400).select("id", signals.random_words(F.col("id"), seed).alias("w")).orderBy("id").collect()]
+    assert got == want
+    u = [r["u"] for r in spark.range(200).select("id", signals.uniform(F.col("id"), seed).alias("u")).orderBy("id").collect()]
+    assert u == [((want[2 * i] << 32 | want[2 * i + 1]) >> 11) / 2**53 for i in range(200)]
+
+
+def test_spectra_equal_a_plain_transform(spark):
+    rng = np.random.default_rng(2)
+    t, x = np.arange(300) / 50.0, rng.normal(size=300) + np.sin(np.arange(300))
+    rows = [(1, float(a), float(b)) for a, b in zip(t, x, strict=True)] + [(2, float(a), 1.0) for a in t[:50]]
+    got = signals.spectra(spark.createDataFrame(rows, "trip_id long, t double, v double"), ["v"]).orderBy("t").collect()
+    assert [r["trip_id"] for r in got] == [1] * len(range(0, 300 - 128, 25))
+    for r, s in zip(got, range(0, 300 - 128, 25), strict=True):
+        part = (x[s : s + 128] - x[s : s + 128].mean()) * np.hanning(128)
+        freq = np.arange(65) * 50 / 128
+        power = np.array([abs(sum(part * np.exp(-2j * np.pi * k * np.arange(128) / 128))) ** 2 for k in range(65)])
+        want = [math.log(power[(freq >= a) & (freq < b)].sum() + 1e-12) for a, b in signals.BANDS] + [math.log(power.sum() + 1e-12)]
+        assert r["features"] == pytest.approx(want, rel=1e-6) and r["t"] == t[s + 64]
+
+
+def test_hull_holds_all_points(spark):
+    rng = random.Random(3)
+    square = [(1, x, y) for x in (0.0, 4.0) for y in (0.0, 3.0)] + [(1, rng.uniform(0, 4), rng.uniform(0, 3)) for _ in range(50)] + [(2, 1.0, 1.0), (2, 2.0, 2.0), (3, 1.0, 1.0)]
+    got = {r["trip_id"]: r["area"] for r in signals.hull_area(spark.createDataFrame(square, "trip_id long, x double, y double")).collect()}
+    assert got == {1: pytest.approx(12.0), 2: 0.0, 3: 0.0}
+
+
+def test_step_derivatives_are_those_of_differences():
+    v, psi, a, w, dt = 12.0, 0.7, 0.4, 0.05, 1.0
+
+    def moved(v, psi, ba, bw):
+        step, middle = v * dt + 0.5 * (a - ba) * dt * dt, psi + 0.5 * (w - bw) * dt
+        return np.array([step * math.cos(middle), step * math.sin(middle)])
+
+    step, middle, h = v + 0.5 * a, psi + 0.5 * w, 1e-6
+    c, s = math.cos(middle), math.sin(middle)
+    want = np.array([[c, -step * s, -0.5 * c, 0.5 * step * s], [s, step * c, -0.5 * s, -0.5 * step * c]])
+    x = [v, psi, 0.0, 0.0]
+    got = np.stack([(moved(*[q + h * (k == i) for k, q in enumerate(x)]) - moved(*[q - h * (k == i) for k, q in enumerate(x)])) / (2 * h) for i in range(4)], axis=1)
+    assert got == pytest.approx(want, abs=1e-6)

@@ -147,3 +147,35 @@ def inside(px: Column, py: Column, ring: list[tuple[float, float]]) -> Column:
         hit = ((F.lit(y0) > py) != (F.lit(y1) > py)) & (px < (x1 - x0) * (py - y0) / (y1 - y0) + x0)
         crossings = crossings + hit.cast("int")
     return crossings % 2 == 1
+
+
+def in_zones(points: DataFrame, corners: DataFrame, cell: float = 100.0) -> DataFrame:
+    """points (x, y, ...) with the zone (zone, place, x, y of its corners, the last equal to the first) that holds each.
+
+    A zone is entered under the grid cells of its bounding box; a point in one of them is inside if a ray from it to the
+    right crosses an odd number of sides.
+    """
+    zones = corners.groupBy("zone").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"), *[f(a).alias(f"{n}{a}") for a in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))])
+    span = lambda a: F.sequence(F.floor(F.col(f"lo{a}") / cell), F.floor(F.col(f"hi{a}") / cell))
+    zones = zones.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y"))).select("zone", "ring", "cx", "cy")
+    met = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell)).join(zones, ["cx", "cy"])
+
+    def crosses(i):
+        a, b = F.get(F.col("ring"), i), F.get(F.col("ring"), i + 1)
+        level = (a["y"] > F.col("y")) != (b["y"] > F.col("y"))
+        return F.when(level & (F.col("x") < (b["x"] - a["x"]) * (F.col("y") - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"]), 1).otherwise(0)
+
+    sides = F.aggregate(F.transform(F.sequence(F.lit(0), F.size("ring") - 2), crosses), F.lit(0), lambda n, x: n + x)
+    return met.where(sides % 2 == 1).drop("cx", "cy", "ring")
+
+
+def grid(columns: int, rows: int, spacing: float):
+    """A street grid for trials: both directions of each side, as a function of the session."""
+
+    def build(spark) -> DataFrame:
+        n = spark.range(columns * rows).select(F.floor(F.col("id") / rows).alias("i"), (F.col("id") % rows).alias("j"))
+        to = n.select("i", "j", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))])).alias("s"))
+        to = to.select("i", "j", (F.col("i") + F.col("s.a")).alias("k"), (F.col("j") + F.col("s.b")).alias("m")).where(F.col("k").between(0, columns - 1) & F.col("m").between(0, rows - 1))
+        return to.select((F.col("i") * rows + F.col("j")).alias("u"), (F.col("k") * rows + F.col("m")).alias("v"), (F.col("i") * spacing).alias("x0"), (F.col("j") * spacing).alias("y0"), (F.col("k") * spacing).alias("x1"), (F.col("m") * spacing).alias("y1"))
+
+    return build

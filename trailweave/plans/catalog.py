@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, files, live, motion, network, places, scalars, temporal
+from . import evidence, files, live, motion, network, places, scalars, signals, temporal
 
-PARTS = (scalars, temporal, network, evidence, motion, files, places, live)
+PARTS = (scalars, temporal, network, evidence, motion, files, places, live, signals)
 
 
 def entry(spark, sf_dir):

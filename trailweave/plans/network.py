@@ -33,10 +33,6 @@ put("SL-09", lambda spark, d: roads.nearest(points(spark, d), edges(spark, d), 8
     "with " + HIT + ", r as (select *, exp(-off / 20.0e0) as w, row_number() over (partition by point order by round(off, 6), edge) as rk from h where off <= 45.0e0) select point, edge, round(w / sum(w) over (partition by point), 6) as p from r where rk <= 8", "nodes", "edges", "points")
 put("JN-10", lambda spark, d: roads.at(edges(spark, d), points(spark, d).join(edges(spark, d).select("edge", (c("edge") % 61).alias("m")), c("point") % 61 == c("m")).select("point", "edge", (c("px") / 3).alias("s"))).select("point", "edge", r4(c("x")).alias("x"), r4(c("y")).alias("y"), r6(c("bearing")).alias("bearing")),
     "select point, edge, round(x0 + g * (x1 - x0), 4) as x, round(y0 + g * (y1 - y0), 4) as y, round(atan2(y1 - y0, x1 - x0), 6) as bearing from (select *, greatest(0.0e0, least(1.0e0, px / 3 / sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)))) as g from points join edges on point % 61 = edge % 61)", "nodes", "edges", "points")
-RING = [(200.0, 100.0), (1500.0, 300.0), (1800.0, 1700.0), (900.0, 900.0), (100.0, 1600.0)]
-_cross = " + ".join(f"cast(({y0} > py) <> ({y1} > py) and px < ({x1 - x0}) * (py - {y0}) / ({y1 - y0}) + {x0} as int)" for (x0, y0), (x1, y1) in zip(RING, RING[1:] + RING[:1], strict=True))
-put("JN-11", lambda spark, d: points(spark, d).withColumn("in", roads.inside(c("px"), c("py"), RING)).groupBy(F.floor(c("point") / 100).alias("trip")).agg(r6(F.avg(c("in").cast("double"))).alias("p")),
-    f"select point // 100 as trip, round(avg(case when ({_cross}) % 2 = 1 then 1.0e0 else 0.0e0 end), 6) as p from points group by 1", "points")
 put("JN-12", lambda spark, d: roads.twins(edges(spark, d)), "select a.edge, min(b.edge) as twin from edges a join edges b on b.u = a.v and b.v = a.u group by 1", "nodes", "edges")
 STEPS = "steps as (select a.edge, b.edge as nxt from edges a join edges b on b.u = a.v and b.v <> a.u)"
 put("JN-13", lambda spark, d: roads.successors(edges(spark, d)), "with " + STEPS + " select edge, nxt as next from steps", "nodes", "edges")

@@ -54,11 +54,16 @@ def gga(spark: SparkSession, path: str) -> DataFrame:
     return out.where("tod is not null and quality is not null")
 
 
+def parsed(lines: DataFrame, *keys: str) -> DataFrame:
+    """The fields of JSON lines (value) and what kind each is; blank lines are skipped, a cut-off line counts as malformed."""
+    rows = lines.where(F.trim("value") != "").select(*keys, F.from_json("value", SAMPLE).alias("x"))
+    kind = F.when(F.col("x.type").isNull(), "malformed").when(F.col("x.type").isin("location", "motion"), F.col("x.type")).otherwise("unknown")
+    return rows.select(*keys, "x.*", kind.alias("kind"))
+
+
 def samples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fixes, motion samples and the counts of kinds of line of a trip in JSON lines; a cut-off line counts as malformed."""
-    lines = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", SAMPLE).alias("x"))
-    kind = F.when(F.col("x.type").isNull(), "malformed").when(F.col("x.type").isin("location", "motion"), F.col("x.type")).otherwise("unknown")
-    rows = lines.select("x.*", kind.alias("kind"))
+    rows = parsed(spark.read.text(path))
     report = rows.groupBy("kind").agg(F.count("*").alias("n"))
     return rows.where("kind = 'location'"), rows.where("kind = 'motion'"), report
 
