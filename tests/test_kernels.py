@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailweave.operators import motion, photo, roads, signals
+from trailweave.operators import matching, motion, photo, roads, signals
 from trailweave.plans import places
 
 
@@ -46,9 +46,9 @@ def chain(spark, n):
 
 
 def test_reach_is_bounded_by_metres_alone(spark):
-    edges = chain(spark, 40)
+    edges = chain(spark, 16)
     got = roads.reachable_within(edges, roads.successors(edges), edges.where("edge = 0"), 2200.0).collect()
-    assert sorted((r["edge"], r["way"]) for r in got) == [(i, 10.0 * i) for i in range(40)]
+    assert sorted((r["edge"], r["way"]) for r in got) == [(i, 10.0 * i) for i in range(16)]
 
 
 def trip(spark, rows):
@@ -143,3 +143,59 @@ def test_step_derivatives_are_those_of_differences():
     x = [v, psi, 0.0, 0.0]
     got = np.stack([(moved(*[q + h * (k == i) for k, q in enumerate(x)]) - moved(*[q - h * (k == i) for k, q in enumerate(x)])) / (2 * h) for i in range(4)], axis=1)
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_matching_finds_the_likeliest_walk(spark):
+    rng = random.Random(4)
+    edges = list(range(5))
+    way = {(a, b): rng.uniform(0, 300) for a in edges for b in edges if a != b and rng.random() < 0.8}
+    fixes = [(1, i, float(i), rng.uniform(20, 200), some, [rng.uniform(0, 50) for _ in some], [rng.uniform(0, 60) for _ in some]) for i in range(6) for some in [sorted(rng.sample(edges, 3))]]
+    rows = spark.createDataFrame(fixes, "trip_id long, seq long, t double, step double, edges array<long>, s array<double>, offsets array<double>")
+    ways = spark.createDataFrame([(a, b, w) for (a, b), w in way.items()], "start long, edge long, way double")
+    got = [r["edge"] for r in matching.matched(rows, ways).orderBy("seq").collect()]
+
+    def score(walk):
+        total = 0.0
+        for i, k in enumerate(walk):
+            _, _, _, step, some, s, off = fixes[i]
+            total -= 0.5 * (off[k] / 15.0) ** 2
+            if i:
+                e0, s0, e1, s1 = fixes[i - 1][4][walk[i - 1]], fixes[i - 1][5][walk[i - 1]], some[k], s[k]
+                road = s1 - s0 if e0 == e1 and s1 >= s0 else way.get((e0, e1), math.inf) - s0 + s1
+                total -= abs(road - step) / 40.0
+        return total
+
+    best = max(itertools.product(range(3), repeat=6), key=score)
+    assert got == [fixes[i][4][k] for i, k in enumerate(best)]
+    # without any way between edges each fix stands for itself
+    alone = [r["edge"] for r in matching.matched(rows, ways.where("false")).orderBy("seq").collect()]
+    assert len(alone) == 6
+
+
+def test_attitude_levels_to_gravity(spark):
+    rows = [(1, i, 0.1, 0.0, 0.0, 0.05, 0.3, -0.2, 0.93) for i in range(400)]
+    last = matching.mahony(spark.createDataFrame(rows, "trip_id long, n long, dt double, gx double, gy double, gz double, ax double, ay double, az double")).where("n = 399").first()["q"]
+    w, x, y, z = last
+    up, force = np.array([2 * (x * z - w * y), 2 * (y * z + w * x), w * w - x * x - y * y + z * z]), np.array([0.3, -0.2, 0.93])
+    assert up == pytest.approx(force / np.linalg.norm(force), abs=1e-2)
+
+
+def test_monotone_curve_pools_neighbours(spark):
+    rng = random.Random(7)
+    data = [(float(i), i / 10 + rng.gauss(0, 1)) for i in range(60)]
+    blocks = []
+    for x, y in data:
+        blocks.append([y, 1, x, x])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            y, n, _, hi = blocks.pop()
+            b = blocks[-1]
+            b[0], b[1], b[3] = (b[0] * b[1] + y * n) / (b[1] + n), b[1] + n, hi
+    got = {r["x"]: r["y"] for r in matching.monotone(spark.createDataFrame(data, "k double, v double"), "k", "v").collect()}
+    for y, _, lo, hi in blocks:
+        assert got[lo] == pytest.approx(y) and got[hi] == pytest.approx(y)
+
+
+def test_live_trust_equals_the_table(spark, sf):
+    from trailweave.plans import matching as plans
+
+    assert all(r["live"] == r["batch"] for r in plans.live_trust(spark, sf).collect())
