@@ -27,11 +27,11 @@ def matched(rows: DataFrame, ways: DataFrame, sigma: float = 15.0, beta: float =
     possible the walk begins anew. ``ways`` is joined to each trip by the edges that it can use, so a task holds no more.
     """
     used = rows.select("trip_id", F.explode("edges").alias("start")).distinct()
-    near = ways.join(used, "start").select("trip_id", "start", "edge", "way")
+    near = ways.join(used, "start").select(F.col("trip_id").alias("trip"), "start", "edge", "way")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame({"trip_id": [], "seq": [], "edge": []})
+            return pd.DataFrame({n: pd.Series(dtype="int64") for n in ("trip_id", "seq", "edge")})
         left = left.sort_values("seq")
         way = {(a, b): w for a, b, w in zip(right["start"], right["edge"], right["way"], strict=True)}
         best, back, out = None, [], {}
@@ -60,7 +60,7 @@ def matched(rows: DataFrame, ways: DataFrame, sigma: float = 15.0, beta: float =
         close()
         return pd.DataFrame({"trip_id": [left["trip_id"].iloc[0]] * len(out), "seq": list(out), "edge": list(out.values())})
 
-    return rows.groupBy("trip_id").cogroup(near.groupBy("trip_id")).applyInPandas(run, "trip_id long, seq long, edge long")
+    return rows.groupBy("trip_id").cogroup(near.groupBy("trip")).applyInPandas(run, "trip_id long, seq long, edge long")
 
 
 def mahony(df: DataFrame, gain: float = 0.5, leak: float = 0.02) -> DataFrame:
