@@ -50,6 +50,18 @@ def test_pieces_on_random_strings():
         assert ids == ",".join(map(str, sp.encode(text)))
 
 
+def test_pieces_of_a_long_text_without_blanks():
+    import time
+
+    import sentencepiece
+
+    rng, sp, model = random.Random(8), sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.PieceModel(PIECES)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) if rng.random() < 0.7 else rng.choice("abcdefgh的是中") for _ in range(300_000))
+    began = time.process_time()
+    assert next(model.encode_texts([text])) == ",".join(map(str, sp.encode(text)))
+    assert time.process_time() - began < 30
+
+
 def test_tables_equal_the_library_and_look_up(odd):
     from tokenizers import Tokenizer
 

@@ -1,7 +1,8 @@
 """SentencePiece encoding in vectorised merge rounds.
 
 Text splits into units that no merge can cross: a run of word marks with the characters up to the next one, and each
-line feed. The distinct units of a chunk of texts lie in one flat numpy array of symbols. In each round every unit finds
+line feed; and a unit is cut again between characters that stand side by side in no piece, so a long text without blanks
+is not one unit that every round passes over. The distinct units of a chunk of texts lie in one flat numpy array of symbols. In each round every unit finds
 the least rank among its adjacent pairs and merges all its pairs of that rank at once, leftmost first; merged symbols are
 closed up, and units in which no pair is left go out. Where a merge gives rise to a pair that ranks no worse, the merges
 to its right in that unit wait for the next round, so the result is that of merging one pair at a time.
@@ -69,6 +70,9 @@ class PieceModel:
                     pairs[a << SHIFT | b] = i
                     for part in (a, b):
                         self.lone[part] |= self.rank[part] >= self.rank[i]
+        beside = {ord(x) << SHIFT | ord(y) for piece in self.ids for x, y in zip(piece, piece[1:], strict=False)}
+        #: Pairs of characters that stand side by side in some piece.
+        self.beside = np.array(sorted(beside), np.int64)
         # open addressing: 2**20 slots for some 60,000 pairs
         self.bits = max(12, 4 + len(pairs).bit_length())
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
@@ -103,8 +107,14 @@ class PieceModel:
 
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all units in order, and the unit of each symbol; symbols from ``n`` up are n + code point."""
-        sym = self.symbol[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
-        unit = np.repeat(np.arange(len(units), dtype=np.int32), [len(u) for u in units])
+        code = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        sym = self.symbol[code]
+        whole = np.repeat(np.arange(len(units), dtype=np.int32), [len(u) for u in units])
+        pair = code[:-1].astype(np.int64) << SHIFT | code[1:]
+        joined = self.beside[np.minimum(np.searchsorted(self.beside, pair), self.beside.size - 1)] == pair
+        first = np.flatnonzero(np.r_[True, (whole[1:] != whole[:-1]) | ~joined][: code.size])
+        unit = np.repeat(np.arange(first.size, dtype=np.int32), np.diff(np.r_[first, code.size]))
+        owner = whole[first]
         done_sym, done_unit = [], []
         while sym.size:
             made = np.full(sym.size, -1, np.int32)
@@ -141,7 +151,7 @@ class PieceModel:
             return np.empty(0, np.int32), np.empty(0, np.int32)
         sym, unit = np.concatenate(done_sym), np.concatenate(done_unit)
         order = np.argsort(unit, kind="stable")
-        return sym[order], unit[order]
+        return sym[order], owner[unit[order]]
 
     def _loud(self, sym: np.ndarray, unit: np.ndarray, made: np.ndarray, rank: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Which merges give rise to a pair that comes before the unit's other pairs of this rank."""
