@@ -1,10 +1,10 @@
-"""The queries op1 to op10 and their SQL, where SQL can express them."""
+"""The queries op1 to op13 and their SQL, where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gru, mainhtml, merkle, mixing, neardup, pieces, quality, sharding, sstable, urls
+from . import gru, mainhtml, merkle, mixing, neardup, phrases, pieces, quality, sharding, simhash, sstable, urls
 from .common import documents
 
 
@@ -55,8 +55,16 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(documents(spark, sf_dir))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_range_shards, op3_url_filter, op4_merkle_fingerprints, op5_gru_scores, op6_quality_rules, op7_sentencepiece, op8_main_text, op9_token_tables, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_range_shards, op3_url_filter, op4_merkle_fingerprints, op5_gru_scores, op6_quality_rules, op7_sentencepiece, op8_main_text, op9_token_tables, op10_mix_sources, op11_simhash_classes, op13_collocations)}
 
 
 OP4_SQL = r"""
@@ -197,5 +205,40 @@ union all select doc_id, size, source_size, target, 0 from placed where size = 0
 """
 
 
+OP13_SQL = r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), w as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p
+), g as (
+  select lang, 1 as k, unnest(w) as phrase from w
+  union all select lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from w
+  union all select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from w
+), c as (
+  select lang, k, phrase, count(*) as f, string_split(phrase, ' ') as w from g group by lang, k, phrase having count(*) >= 10
+), total as (
+  select lang, sum(len(w)) as n from w group by lang
+), cuts as (
+  select lang, phrase, k, w, f as a, unnest(range(1, k)) as cut from c where k > 1
+), s as (
+  select x.lang, x.phrase, x.k, x.a, x.cut, h.f as l, t.f as r, (1000000::hugeint * x.a * x.a) // (h.f::hugeint * t.f) as score
+  from cuts x join c h on h.lang = x.lang and h.phrase = array_to_string(x.w[1:x.cut], ' ') join c t on t.lang = x.lang and t.phrase = array_to_string(x.w[x.cut + 1:], ' ')
+), low as (
+  select * from s qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+), inside as (
+  select lang, phrase, max(f) as f from (
+    select lang, w[1] || ' ' || w[2] as phrase, f from c where k = 3 union all select lang, w[2] || ' ' || w[3], f from c where k = 3
+  ) group by lang, phrase
+), kept as (
+  select low.* from low left join inside i on i.lang = low.lang and i.phrase = low.phrase where i.f is null or 100 * i.f < 50 * low.a
+), ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept
+)
+select r.lang, r.rank, r.phrase, r.a, cast(r.l as bigint) as l, cast(r.r as bigint) as r, cast(n as bigint) as n, cast(r.score as bigint) as score
+from ranked r join total on total.lang = r.lang where r.rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_merkle_fingerprints": OP4_SQL, "op6_quality_rules": OP6_SQL, "op10_mix_sources": OP10_SQL}
+    return {"op4_merkle_fingerprints": OP4_SQL, "op6_quality_rules": OP6_SQL, "op10_mix_sources": OP10_SQL, "op13_collocations": OP13_SQL}
