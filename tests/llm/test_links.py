@@ -1,12 +1,16 @@
 """SimHash classes, collocations and token alignment against plain versions of what they promise."""
 
 import collections
+import hashlib
 import random
 import re
 
+import public_tokenizers as P
 import pytest
 
-from trailweave.llm import phrases, simhash
+from trailweave.llm import alignment, phrases, simhash
+
+BYTES, PIECES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 
 MASK = (1 << 64) - 1
 
@@ -109,3 +113,59 @@ def test_phrase_counts_of_other_lengths():
         pieces = [p.split() for p in b" ".join(words).split(phrases.END)]
         want = collections.Counter(b" ".join(p[i : i + n]) for p in pieces for n in range(1, longest + 1) for i in range(len(p) - n + 1))
         assert dict(zip(phrase.to_pylist(), f.tolist(), strict=True)) == want
+
+
+def plain_alignment(texts):
+    """A row for each text, in order, by the libraries on whole texts."""
+    import base64
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    library, sp = Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    library.encode_special_tokens = True
+    piece = lambda i: bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("\u2581", " ").encode()
+    docs = []
+    for text in texts:
+        out = None
+        if text:
+            a = [(i, ranks[i]) for i in library.encode(" " + text, add_special_tokens=False).ids]
+            b = [(i, piece(i)) for i in sp.encode(text)]
+            if b"".join(x for _, x in a) == (" " + text).encode() == b"".join(x for _, x in b):
+                ends = lambda t: [sum(len(x) for _, x in t[: k + 1]) for k in range(len(t))]
+                cuts = sorted(set(ends(a)) & set(ends(b)))
+                place = lambda e: next(k for k, c in enumerate(cuts) if e <= c)
+                out = [([], []) for _ in cuts]
+                for side, t in enumerate((a, b)):
+                    for (i, _), e in zip(t, ends(t), strict=True):
+                        out[place(e)][side].append(i)
+        docs.append(out)
+    counts = collections.Counter(p for d in docs for p in {(x, y) for g in d or () for x in g[0] for y in g[1]})
+    most = collections.Counter()
+    for (x, _), n in counts.items():
+        most[x] = max(most[x], n)
+    rows = []
+    for d in docs:
+        linked = [(x, y) for g in d or () for x in g[0] for y in g[1]]
+        said = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in d or ())
+        best, total = sum(counts[p] == most[p[0]] for p in linked), sum(counts[p] for p in linked)
+        rows.append((sum(len(a) for a, _ in d or ()), sum(len(b) for _, b in d or ()), len(d or ()), len(linked), best, total, hashlib.sha256(said.encode()).hexdigest() if d else ""))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [3, 1 << 18])
+def test_alignment_equals_the_libraries(spark, odd, empty, hot):
+    rng = random.Random(9)
+    parts = ["the", "ing", " ", "  ", "\n", "\n\n", "\t", "\xa0", "\u3000", "\x1c", "é", "中文", "😀", "'s", "2024", ".", "<|endoftext|>", "<s>", "don't", "▁", "Straße", " of", "\r\n", "xx", "\x00"]
+    texts = ["".join(rng.choices(parts, [9 if p != "▁" else 1 for p in parts], k=rng.randrange(1, 40))) for _ in range(300)] + [None, "", " ", "\n", "plain words here", "plain words here", "▁"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: tuple(r)[1:] for r in alignment.digests(df, BYTES, PIECES, hot=hot).collect()}
+    want = plain_alignment(texts)
+    assert [got[i] for i in range(len(texts))] == want and sum(r[0] > 0 for r in want) > 150
+    if hot > 3:
+        assert alignment.digests(empty, BYTES, PIECES).collect() == []
+        rows = [r for r in odd.collect() if len(r["text"] or "") < 1000]
+        some = odd.where("length(text) < 1000 or text is null")
+        assert collections.Counter(map(tuple, alignment.digests(some, BYTES, PIECES).collect())) == collections.Counter((r["doc_id"], *w) for r, w in zip(rows, plain_alignment([r["text"] for r in rows]), strict=True))
+        assert alignment.digests(odd, BYTES, PIECES).count() == odd.count()

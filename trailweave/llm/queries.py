@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gru, mainhtml, merkle, mixing, neardup, phrases, pieces, quality, sharding, simhash, sstable, urls
+from . import alignment, gru, mainhtml, merkle, mixing, neardup, phrases, pieces, quality, sharding, simhash, sstable, urls
 from .common import documents
 
 
@@ -59,12 +59,16 @@ def op11_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(documents(spark, sf_dir))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_range_shards, op3_url_filter, op4_merkle_fingerprints, op5_gru_scores, op6_quality_rules, op7_sentencepiece, op8_main_text, op9_token_tables, op10_mix_sources, op11_simhash_classes, op13_collocations)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_range_shards, op3_url_filter, op4_merkle_fingerprints, op5_gru_scores, op6_quality_rules, op7_sentencepiece, op8_main_text, op9_token_tables, op10_mix_sources, op11_simhash_classes, op12_token_alignment, op13_collocations)}
 
 
 OP4_SQL = r"""
