@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, files, live, matching, motion, network, places, scalars, signals, temporal
+from . import curves, evidence, files, live, matching, motion, network, places, scalars, signals, temporal
 
-PARTS = (scalars, temporal, network, evidence, motion, files, places, live, signals, matching)
+PARTS = (scalars, temporal, network, evidence, motion, files, places, live, signals, matching, curves)
 
 
 def entry(spark, sf_dir):
