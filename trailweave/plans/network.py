@@ -31,7 +31,7 @@ put("JN-09", lambda spark, d: roads.nearest(points(spark, d), edges(spark, d), 1
     "with " + HIT + " select point, edge, round(s, 4) as s, round(off, 4) as offset from (select *, row_number() over (partition by point order by round(off, 6), edge) as rk from h) where rk = 1", "nodes", "edges", "points")
 put("SL-09", lambda spark, d: roads.nearest(points(spark, d), edges(spark, d), 8, 45.0).where("offset <= 45").withColumn("w", F.exp(-c("offset") / 20.0)).select("point", "edge", r6(c("w") / F.sum("w").over(Window.partitionBy("point"))).alias("p")),
     "with " + HIT + ", r as (select *, exp(-off / 20.0e0) as w, row_number() over (partition by point order by round(off, 6), edge) as rk from h where off <= 45.0e0) select point, edge, round(w / sum(w) over (partition by point), 6) as p from r where rk <= 8", "nodes", "edges", "points")
-put("JN-10", lambda spark, d: roads.at(edges(spark, d), points(spark, d).join(edges(spark, d).select("edge", (c("edge") % 61).alias("m")), c("point") % 61 == c("m")).select("point", "edge", (c("px") / 3).alias("s"))).select("point", "edge", r4(c("x")).alias("x"), r4(c("y")).alias("y"), r6(c("bearing")).alias("bearing")),
+put("JN-10_straight", lambda spark, d: roads.at(edges(spark, d), points(spark, d).join(edges(spark, d).select("edge", (c("edge") % 61).alias("m")), c("point") % 61 == c("m")).select("point", "edge", (c("px") / 3).alias("s"))).select("point", "edge", r4(c("x")).alias("x"), r4(c("y")).alias("y"), r6(c("bearing")).alias("bearing")),
     "select point, edge, round(x0 + g * (x1 - x0), 4) as x, round(y0 + g * (y1 - y0), 4) as y, round(atan2(y1 - y0, x1 - x0), 6) as bearing from (select *, greatest(0.0e0, least(1.0e0, px / 3 / sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)))) as g from points join edges on point % 61 = edge % 61)", "nodes", "edges", "points")
 put("JN-12", lambda spark, d: roads.twins(edges(spark, d)), "select a.edge, min(b.edge) as twin from edges a join edges b on b.u = a.v and b.v = a.u group by 1", "nodes", "edges")
 STEPS = "steps as (select a.edge, b.edge as nxt from edges a join edges b on b.u = a.v and b.v <> a.u)"
@@ -48,13 +48,13 @@ RULES = STEPS + ", rules as (select case when edge % 2 = 0 then 'no' else 'only'
 legal = lambda spark, d: roads.allowed(roads.successors(edges(spark, d)), rules(spark, d))
 put("JN-16", legal, "with " + RULES + " select edge, nxt as next from ok", "nodes", "edges")
 put("JN-17", lambda spark, d: roads.successors(edges(spark, d)).join(edges(spark, d).where("(u + v) % 7 = 0").select(c("edge").alias("next")), "next", "left_anti").select("edge", "next"), "with " + STEPS + " select s.edge, s.nxt as next from steps s join edges e on e.edge = s.nxt where (e.u + e.v) % 7 <> 0", "nodes", "edges")
-put("GR-01", lambda spark, d: edges(spark, d).select("edge", r4(roads.length()).alias("length"), r6(roads.bearing()).alias("bearing")).where("length > 0.001"), "select edge, round(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)), 4) as length, round(atan2(y1 - y0, x1 - x0), 6) as bearing from edges where sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) > 0.001e0", "nodes", "edges")
+put("GR-01_straight", lambda spark, d: edges(spark, d).select("edge", r4(roads.length()).alias("length"), r6(roads.bearing()).alias("bearing")).where("length > 0.001"), "select edge, round(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)), 4) as length, round(atan2(y1 - y0, x1 - x0), 6) as bearing from edges where sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) > 0.001e0", "nodes", "edges")
 put("GR-03", lambda spark, d: roads.clipped(edges(spark, d), 1000.0, 1000.0, 900.0).select("edge"), "select edge from edges where sqrt(pow(x0 - 1000.0e0, 2) + pow(y0 - 1000.0e0, 2)) <= 900.0e0 and sqrt(pow(x1 - 1000.0e0, 2) + pow(y1 - 1000.0e0, 2)) <= 900.0e0", "nodes", "edges")
 put("GR-04", lambda spark, d: roads.reachable(roads.successors(edges(spark, d)), edges(spark, d), 4), "with recursive " + STEPS.replace("steps as", "steps as") + ", w as (select edge as start, edge, 0 as hops from edges union select w.start, s.nxt, w.hops + 1 from w join steps s on s.edge = w.edge where w.hops < 4) select start, edge, min(hops) as hops from w group by 1, 2", "nodes", "edges")
 put("GR-05", lambda spark, d: roads.reachable_within(edges(spark, d), legal(spark, d), edges(spark, d), 2200.0).select("start", "edge", r4(c("way")).alias("way")), "with recursive " + RULES + ", l as (select edge, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) as len, u from edges), w as (select edge as start, edge, 0.0e0 as way from l union all select w.start, s.nxt, w.way + l.len from w join l on l.edge = w.edge join ok s on s.edge = w.edge where w.way + l.len <= 2200.0e0) select start, edge, round(min(way), 4) as way from w group by 1, 2", "nodes", "edges")
 TURN = STEPS + ", b as (select edge, atan2(y1 - y0, x1 - x0) as b, highway as h from edges), t as (select s.edge, s.nxt, x.h as h0, y.h as h1, y.b - x.b + pi() - 2.0e0 * pi() * floor((y.b - x.b + pi()) / (2.0e0 * pi())) - pi() as turn from steps s join b x on x.edge = s.edge join b y on y.edge = s.nxt)"
 put("GR-11", lambda spark, d: roads.turns(edges(spark, d), roads.successors(edges(spark, d))).select("edge", "next", r6(c("turn")).alias("turn")), "with " + TURN + " select edge, nxt as next, 0.0e0 + round(turn, 6) as turn from t", "nodes", "edges")
-put("GR-13", lambda spark, d: edges(spark, d).groupBy("u").agg(F.array_join(F.array_sort(F.collect_list("edge")).cast("array<string>"), ",").alias("out")), "select u, array_to_string(list_sort(list(edge)), ',') as out from edges group by 1", "nodes", "edges")
+put("GR-13_straight", lambda spark, d: edges(spark, d).groupBy("u").agg(F.array_join(F.array_sort(F.collect_list("edge")).cast("array<string>"), ",").alias("out")), "select u, array_to_string(list_sort(list(edge)), ',') as out from edges group by 1", "nodes", "edges")
 _rank = "case {} when 'primary' then 4.0e0 when 'secondary' then 3.0e0 when 'residential' then 1.0e0 else -1.0e0 end"
 put("GR-15", lambda spark, d: roads.class_prior(roads.turns(edges(spark, d), roads.successors(edges(spark, d)))).select("edge", "next", F.round(c("prior") + 0.0, 6).alias("prior")), "with " + TURN + " select edge, nxt as next, 0.0e0 + round(-0.5e0 * greatest(0.0e0, " + _rank.format("h0") + " - " + _rank.format("h1") + "), 6) as prior from t", "nodes", "edges")
 put("GR-16", lambda spark, d: roads.turns(edges(spark, d), roads.successors(edges(spark, d))).where("turn > 0").groupBy("edge").agg(r6(F.min(F.abs(F.degrees("turn") - 70.0))).alias("gap")), "with " + TURN + " select edge, round(min(abs(degrees(turn) - 70.0e0)), 6) as gap from t where turn > 0 group by 1", "nodes", "edges")

@@ -228,7 +228,7 @@ put("SL-03", lambda spark, d: belief.resampled(norm(spark, d), 0.37).select("tri
 put("SL-05", lambda spark, d: belief.reduced(norm(spark, d), 8, 1.5).select("trip_id", "i", r6(c("p")).alias("p")), "with " + P + ", r as (select *, row_number() over (partition by trip_id order by ln(q) desc, i) as rk, max(ln(q)) over (partition by trip_id) as m from p), k as (select *, exp(ln(q) - m) as e from r where rk <= 8 and ln(q) >= m - 1.5e0) select trip_id, i, round(e / sum(e) over (partition by trip_id), 6) as p from k", "particles")
 put("SL-07", lambda spark, d: norm(spark, d).groupBy("trip_id", "edge").agg(F.sum("w").alias("m")).withColumn("rank", F.row_number().over(Window.partitionBy("trip_id").orderBy(c("m").desc(), "edge"))).where("rank <= 5").select("trip_id", "edge", "rank", r6(c("m")).alias("mass")), "with " + P + "select trip_id, edge, rk as rank, round(m, 6) as mass from (select trip_id, edge, sum(q) as m, row_number() over (partition by trip_id order by sum(q) desc, edge) as rk from p group by 1, 2) where rk <= 5", "particles")
 put("SL-08", lambda spark, d: belief.decided(norm(spark, d).groupBy("trip_id", c("edge").alias("zone")).agg(F.sum("w").alias("p")), 0.4, 0.1).select("trip_id", "zone", r6(c("p")).alias("p"), "status"), "with " + P + ", z as (select trip_id, edge, sum(q) as m from p group by 1, 2), k as (select *, row_number() over (partition by trip_id order by m desc, edge) as rk, coalesce(lead(m) over (partition by trip_id order by m desc, edge), 0.0e0) as m2 from z) select trip_id, edge as zone, round(m, 6) as p, case when m <= 0 then 'outside' when m >= 0.4e0 and m - m2 >= 0.1e0 then 'confident' else 'ambiguous' end as status from k where rk = 1", "particles")
-put("ST-12", lambda spark, d: norm(spark, d).groupBy("trip_id", "edge").agg(F.sum("w").alias("m"), (F.sum(c("w") * c("s")) / F.sum("w")).alias("s")).groupBy("trip_id").agg(F.max(F.struct("m", (-c("edge")).alias("e"), "s")).alias("b")).select("trip_id", (-c("b.e")).alias("edge"), r6(c("b.s")).alias("s")), "with " + P + ", z as (select trip_id, edge, sum(q) as m, sum(q * s) / sum(q) as s from p group by 1, 2) select trip_id, edge, round(s, 6) as s from (select *, row_number() over (partition by trip_id order by m desc, edge) as rk from z) where rk = 1", "particles")
+put("ST-12_one_branch", lambda spark, d: norm(spark, d).groupBy("trip_id", "edge").agg(F.sum("w").alias("m"), (F.sum(c("w") * c("s")) / F.sum("w")).alias("s")).groupBy("trip_id").agg(F.max(F.struct("m", (-c("edge")).alias("e"), "s")).alias("b")).select("trip_id", (-c("b.e")).alias("edge"), r6(c("b.s")).alias("s")), "with " + P + ", z as (select trip_id, edge, sum(q) as m, sum(q * s) / sum(q) as s from p group by 1, 2) select trip_id, edge, round(s, 6) as s from (select *, row_number() over (partition by trip_id order by m desc, edge) as rk from z) where rk = 1", "particles")
 put("UD-05", lambda spark, d: belief.normalized(particles(spark, d).withColumn("w", c("w") * (1 + c("edge") / 10.0))).select("trip_id", "i", F.round("w", 9).alias("w")), "select trip_id, i, round(w * (1 + edge / 10.0e0) / sum(w * (1 + edge / 10.0e0)) over (partition by trip_id), 9) as w from particles", "particles")
 put("FN-24", lambda spark, d: particles(spark, d).withColumn("x", c("s") / 100.0).withColumn("e", F.exp(c("x") - F.max("x").over(Window.partitionBy("trip_id")))).select("trip_id", "i", F.round(c("e") / F.sum("e").over(Window.partitionBy("trip_id")), 9).alias("p")), "select trip_id, i, round(e / sum(e) over (partition by trip_id), 9) as p from (select *, exp(s / 100.0e0 - max(s / 100.0e0) over (partition by trip_id)) as e from particles)", "particles")
 put("ST-08", lambda spark, d: fixes(spark, d).select("trip_id", "seq", *[F.last(F.when(c("good"), c(x)), ignorenulls=True).over(Window.partitionBy("trip_id").orderBy("seq")).alias(x) for x in ("east", "north")]), "select trip_id, seq, last_value(case when good then east end ignore nulls) over w as east, last_value(case when good then north end ignore nulls) over w as north from fixes window w as (partition by trip_id order by seq rows unbounded preceding)", "fixes")
