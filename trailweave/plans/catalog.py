@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corridors, curves, evidence, files, live, matching, motion, network, places, scalars, signals, temporal
+from . import bends, corridors, curves, evidence, files, live, matching, motion, network, places, scalars, signals, temporal
 
-PARTS = (scalars, temporal, network, evidence, motion, files, places, live, signals, matching, curves, corridors)
+PARTS = (scalars, temporal, network, evidence, motion, files, places, live, signals, matching, curves, corridors, bends)
 
 
 def entry(spark, sf_dir):

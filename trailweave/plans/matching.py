@@ -58,9 +58,10 @@ def live_trust(spark, d):
     f = fixes(spark, d).selectExpr("trip_id", "cast(seq as int) as seq", "t", "good as accepted")
     out = ended(live.trust(source(spark, f.select("trip_id", at(c("t")).alias("ts"), "t", "accepted"))))
     # the end of the stream tells every trip to be lost once it has been silent; those rows are no fixes
-    got = out.join(f.groupBy("trip_id").agg(F.max("t").alias("end")), "trip_id").where("t <= end").groupBy("trip_id", "state").agg(F.count("*").alias("live"))
-    want = histories(f).groupBy("trip_id", "state").agg(F.count("*").alias("batch"))
-    return got.join(want, ["trip_id", "state"], "full").select("trip_id", "state", "live", "batch")
+    got = out.join(f.groupBy("trip_id").agg(F.max("t").alias("end")), "trip_id").where("t <= end")
+    # fix by fix; those of one time count in the order of their states
+    nth = lambda rows, name: rows.select("trip_id", "t", c("state").alias(name), F.row_number().over(Window.partitionBy("trip_id", "t").orderBy("state")).alias("k"))
+    return rounded(nth(got, "live").join(nth(histories(f), "batch"), ["trip_id", "t", "k"], "full").select("trip_id", "t", "k", "live", "batch"))
 
 
 put("SS-12", live_trust, None)
