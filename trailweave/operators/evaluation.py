@@ -29,19 +29,20 @@ def moments(df: DataFrame, keys: list[str], features: list[str], target: str, we
     return df.groupBy(*keys).agg(*sums)
 
 
-def ridge_of(row, features: list[str], target: str, penalty: float, floor: float) -> tuple[float, list[float]]:
-    """Intercept and coefficients of the ridge over standardised features from sums; a spread below ``floor`` counts as it."""
+def ridge_of(row, features: list[str], target: str, penalty: float, floor: float | None) -> tuple[float, list[float]]:
+    """Intercept and coefficients of a ridge from sums. Features are standardised, a spread below ``floor`` counts as it; with
+    ``floor`` None they are taken as they are."""
     terms, k = [*features, target], len(features)
     mean = np.array([getattr(row, f"s_{a}") for a in terms]) / row.n
     product = lambda i, j: getattr(row, f"p_{terms[min(i, j)]}_{terms[max(i, j)]}") / row.n - mean[i] * mean[j]
     cov = np.array([[product(i, j) for j in range(k + 1)] for i in range(k)])
     sd = np.sqrt(np.maximum(np.diag(cov[:, :k]), 0.0))
-    sd = np.where(sd > 1e-9, sd, 1.0) if floor == 0 else np.maximum(sd, floor)
+    sd = np.ones(k) if floor is None else np.where(sd > 1e-9, sd, 1.0) if floor == 0 else np.maximum(sd, floor)
     beta = np.linalg.solve(row.n * cov[:, :k] / np.outer(sd, sd) + penalty * np.eye(k), row.n * cov[:, k] / sd) / sd
     return float(mean[k] - beta @ mean[:k]), beta.tolist()
 
 
-def solved(sums: DataFrame, keys: list[str], features: list[str], target: str, penalty: float, floor: float = 0.0) -> DataFrame:
+def solved(sums: DataFrame, keys: list[str], features: list[str], target: str, penalty: float, floor: float | None = 0.0) -> DataFrame:
     """``keys``, intercept, beta of each row of sums."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,6 +114,32 @@ def interval_ridge(windows: DataFrame, intervals: DataFrame, features: list[str]
     return out.select("trip_id", n.alias("intervals"), reason.alias("reason"), "intercept", "beta", F.greatest(F.lit(1.5), F.least(F.lit(12.0), C("held_out"))).alias("sigma"), "in_sample")
 
 
+def speed_models(df: DataFrame, order: str, features: list[str], target: str = "speed", penalty: float = 1.0, least: int = 60, moving: int = 30, share: float = 0.7) -> DataFrame:
+    """A model of each trip, scored on its own last rows: trip_id, n, reason, intercept, beta, sigma, corr, in_sample, gap.
+
+    Rows with a null or NaN are left out. A trip of fewer than ``least`` rows, or ``moving`` faster than 2 m/s, is refused, and so
+    is one whose prediction is constant on the rows held out, the last 1 - ``share`` in ``order``. Sigma, 1.5 to 12, is the
+    error there of a model of the rows before; the coefficients are of all rows.
+    """
+    whole, trip = reduce(lambda a, b: a & b, [C(x).isNotNull() & ~F.isnan(x) for x in (*features, target)]), Window.partitionBy("trip_id")
+    rows = df.where(whole).withColumn("many", F.count("*").over(trip)).withColumn("fast", F.count_if(C(target) > 2.0).over(trip)).withColumn("at", F.row_number().over(trip.orderBy(order)))
+    split = F.least(F.greatest(F.lit(least // 2), F.floor(C("many") * share)), C("many") - 5)
+    enough = rows.where((C("many") >= least) & (C("fast") >= moving)).withColumn("train", C("at") <= split)
+    first = solved(moments(enough.where("train"), ["trip_id"], features, target), ["trip_id"], features, target, penalty, None)
+    tried = enough.join(first, "trip_id").withColumn("guess", predicted(features))
+    held, e = F.when(~C("train"), C("guess")), F.pow(C("guess") - C(target), 2)
+    tried = tried.groupBy("trip_id").agg(F.stddev_pop(held).alias("spread"), F.sqrt(F.avg(F.when(~C("train"), e))).alias("held_out"), F.corr(held, target).alias("corr"), F.sqrt(F.avg(F.when(C("train"), e))).alias("in_sample"))
+    final = solved(moments(enough, ["trip_id"], features, target), ["trip_id"], features, target, penalty, None)
+    seen = rows.groupBy("trip_id").agg(F.count("*").alias("n"), F.max("fast").alias("fast"))
+    out = df.select("trip_id").distinct().join(seen, "trip_id", "left").join(tried, "trip_id", "left").join(final, "trip_id", "left")
+    n, fast = F.coalesce("n", F.lit(0)), F.coalesce("fast", F.lit(0))
+    reason = F.when((n < least) | (fast < moving), F.concat(F.lit("too few rows: "), n.cast("string"), F.lit(", moving "), fast.cast("string"))).when(C("spread") < 1e-9, "constant prediction").otherwise("ok")
+    ok = lambda x: F.when(C("reason") == "ok", x)
+    sigma, gap = F.greatest(F.lit(1.5), F.least(F.lit(12.0), C("held_out"))), C("held_out") / F.greatest(C("in_sample"), F.lit(1e-6))
+    corr = F.when(C("corr").isNull() | F.isnan("corr"), 0.0).otherwise(C("corr"))
+    return out.select("*", n.alias("rows"), reason.alias("reason")).select("trip_id", C("rows").alias("n"), "reason", ok(C("intercept")).alias("intercept"), ok(C("beta")).alias("beta"), ok(sigma).alias("sigma"), ok(corr).alias("corr"), ok(C("in_sample")).alias("in_sample"), ok(gap).alias("gap"))
+
+
 def two_sided(z: Column) -> Column:
     """Chance of a normal value at least as far out, by a polynomial good to 1.5e-7."""
     t = 1 / (1 + 0.3275911 * z / F.sqrt(F.lit(2.0)))

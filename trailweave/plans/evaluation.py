@@ -124,3 +124,30 @@ put("AG-35_tests", compared, """with f as (
 )
 select pz.class, n1, n2, round(u, 5) as u, round(z, 5) as z, round(q * (0.254829592e0 + q * (-0.284496736e0 + q * (1.421413741e0 + q * (-1.453152027e0 + q * 1.061405429e0)))) * exp(-z * z / 2), 5) as p,
   round(diff, 5) as diff, round(low, 5) as low, round(high, 5) as high, used from pz join bs on bs.class = pz.class""", "fixes")
+
+
+def trip_models(spark, d):
+    """Speed of each trip from the error class and the course, refused where a trip is short or slow."""
+    f = fixes(spark, d).select("trip_id", "seq", c("k").cast("double").alias("k"), "course", "speed")
+    out = evaluation.speed_models(f, "seq", ["k", "course"], least=14, moving=6)
+    return rounded(out.select("trip_id", "n", "reason", "intercept", c("beta")[0].alias("of_error"), c("beta")[1].alias("of_course"), "sigma", "corr", "in_sample", "gap"), 5)
+
+
+PAIR = lambda name, source: f"""{name}_s as (
+  select trip_id, count(*) as n, avg(k) as mx, avg(course) as mz, avg(speed) as my, var_pop(k) * count(*) + 1 as xx, var_pop(course) * count(*) + 1 as zz, covar_pop(k, course) * count(*) as xz, covar_pop(k, speed) * count(*) as xy, covar_pop(course, speed) * count(*) as zy from {source} group by 1
+), {name} as (
+  select trip_id, bx, bz, my - bx * mx - bz * mz as b0 from (select *, (xy * zz - xz * zy) / (xx * zz - xz * xz) as bx, (zy * xx - xz * xy) / (xx * zz - xz * xz) as bz from {name}_s)
+)"""
+put("ML-01", trip_models, """with r as (
+  select trip_id, seq, k, course, speed, count(*) over (partition by trip_id) as many, count(*) filter (where speed > 2.0e0) over (partition by trip_id) as fast, row_number() over (partition by trip_id order by seq) as at_ from fixes
+), enough as (
+  select *, at_ <= least(greatest(7, floor(many * 0.7e0)), many - 5) as train from r where many >= 14 and fast >= 6
+), early as (select * from enough where train), """ + PAIR("one", "early") + ", " + PAIR("fin", "enough") + """, g as (
+  select e.*, b0 + bx * k + bz * course as guess from enough e join one on one.trip_id = e.trip_id
+), t as (
+  select trip_id, stddev_pop(guess) filter (where not train) as spread, sqrt(avg(pow(guess - speed, 2)) filter (where not train)) as out_, corr(guess, speed) filter (where not train) as corr_, sqrt(avg(pow(guess - speed, 2)) filter (where train)) as in_ from g group by 1
+), n as (select trip_id, count(*) as n, any_value(fast) as fast from r group by 1)
+select n.trip_id, n.n, case when n.n < 14 or fast < 6 then 'too few rows: ' || n.n || ', moving ' || fast when spread < 1e-9 then 'constant prediction' else 'ok' end as reason,
+  round(case when spread >= 1e-9 then b0 end, 5) as intercept, round(case when spread >= 1e-9 then bx end, 5) as of_error, round(case when spread >= 1e-9 then bz end, 5) as of_course, round(case when spread >= 1e-9 then greatest(1.5e0, least(12.0e0, out_)) end, 5) as sigma,
+  round(case when spread >= 1e-9 then case when corr_ is null or isnan(corr_) then 0.0e0 else corr_ end end, 5) as corr, round(case when spread >= 1e-9 then in_ end, 5) as in_sample, round(case when spread >= 1e-9 then out_ / greatest(in_, 1e-6) end, 5) as gap
+from n left join t on t.trip_id = n.trip_id left join fin on fin.trip_id = n.trip_id""", "fixes")
