@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailweave.operators import curves
+from trailweave.operators import curves, roads
+from trailweave.sources import graphml
 
 from .evidence import rounded
 from .views import sql, table
@@ -134,3 +135,18 @@ put("GR-13", adjacency, "with " + STREETS + """, low as (select min(x) as lx, mi
   select distinct cast(floor((y - ly) / 250.0e0) as bigint) as r, cast(floor((x - lx) / 250.0e0) as bigint) as k, edge from spot cross join low
 ) select 'out' as kind, cast(null as bigint) as row, u as col, array_to_string(list_sort(list(edge)), ',') as edges from streets where i = 0 group by u
 union all select 'cell', r, k, array_to_string(list_sort(list(edge)), ',') from cells group by 2, 3""")
+
+
+def rules(spark, d):
+    """Turn rules between streets: some turns are forbidden, some are the only ones."""
+    steps = roads.successors(streets(spark, d).where("i = 0").select("edge", "u", "v")).where((c("edge") * 3 + c("next")) % 11 == 0)
+    return steps.select(F.when(c("edge") % 2 == 0, "no").otherwise("only").alias("kind"), c("edge").alias("from"), F.array().cast("array<bigint>").alias("via"), c("next").alias("to"))
+
+
+def graph_file(spark, d):
+    return graphml.read(spark, graphml.write(streets(spark, d), rules(spark, d)))
+
+
+put("SRC-12", lambda spark, d: rounded(graph_file(spark, d)[1]), "with " + STREETS + " select edge, u, v, i, round(x, 6) as x, round(y, 6) as y, highway from streets")
+put("SRC-12_rules", lambda spark, d: graph_file(spark, d)[2].select("kind", "from", "to"),
+    "with " + STREETS + ", e as (select distinct edge, u, v from streets) select case when a.edge % 2 = 0 then 'no' else 'only' end as kind, a.edge as \"from\", b.edge as \"to\" from e a join e b on b.u = a.v and b.v <> a.u where (a.edge * 3 + b.edge) % 11 = 0")
