@@ -60,3 +60,15 @@ def places(vectors: DataFrame, every: int, k: int) -> DataFrame:
     d = v.join(q, F.col("vec_id") != F.col("query")).select("query", "vec_id", (dot / (F.col("nq") * F.col("nv"))).alias("sim"))
     rank = Window.partitionBy("query").orderBy(F.col("sim").desc(), "vec_id")
     return d.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+
+
+def refined_offset(samples: DataFrame, span: int, coarse: int, fine: int = 1, least: float = 0.0, sure: float = 0.35) -> DataFrame:
+    """The lag of each trip, searched in steps of ``coarse`` samples up to ``span`` and then in steps of ``fine`` about the best:
+    trip_id, lag, corr, note (``weak`` below ``sure``). Trips in which no coarse lag is above ``least`` are left out."""
+    rough = clock_offset(samples, list(range(-span, span + 1, coarse))).where(F.col("corr") > least)
+    near = F.sequence(F.col("lag") - coarse, F.col("lag") + coarse, F.lit(fine))
+    a = samples.select("trip_id", "n", "yaw").join(rough.select("trip_id", F.explode(near).alias("lag")), "trip_id").withColumn("m", F.col("n") + F.col("lag"))
+    b = samples.select("trip_id", F.col("n").alias("m"), "a_long")
+    r = a.join(b, ["trip_id", "m"]).groupBy("trip_id", "lag").agg(F.corr("yaw", "a_long").alias("corr")).where("corr is not null and not isnan(corr)")
+    best = r.groupBy("trip_id").agg(F.max(F.struct(F.round("corr", 9).alias("c"), (-F.col("lag")).alias("l"), "corr", "lag")).alias("b"))
+    return best.select("trip_id", "b.lag", "b.corr", F.when(F.col("b.corr") < sure, "weak").otherwise("ok").alias("note"))

@@ -81,3 +81,27 @@ def attribution(updates: DataFrame, bin_: Column) -> DataFrame:
     w = Window.partitionBy("trip_id").orderBy("seq")
     rows = updates.withColumn("bin", bin_).withColumn("step", F.col("value") - F.coalesce(F.lag("value").over(w), F.lit(0.0)))
     return rows.groupBy("trip_id", "bin").agg(F.sum("step").alias("change"), F.sum(F.when(F.col("kind") == "gps", F.col("moved")).otherwise(0.0)).alias("by_gps"), F.sum(F.when(F.col("kind") != "gps", F.col("moved")).otherwise(0.0)).alias("by_others"), (F.sum("step") - F.sum("moved")).alias("unexplained"))
+
+
+def run_errors(rows: DataFrame, bands: tuple[float, ...], long: tuple[float, ...]) -> DataFrame:
+    """Errors of two odometers along each trip: rows (trip_id, seq, t, true, route, pos), all ways so far.
+
+    Medians, the 95th percentile and the largest error of both, the largest lead and lag of ``pos``, its shares below each of
+    ``bands`` and beyond the last two of ``long``, the longest run above each of ``long`` in seconds (rows times the middle step), and
+    the share of rows at which ``pos`` is the closer.
+    """
+    col = F.col
+    d = rows.withColumn("er", F.abs(col("route") - col("true"))).withColumn("ep", F.abs(col("pos") - col("true"))).withColumn("sp", col("pos") - col("true"))
+    w = Window.partitionBy("trip_id").orderBy("seq")
+    d = d.withColumn("dt", col("t") - F.lag("t").over(w))
+    share = lambda x: F.avg(x.cast("double"))
+    named = lambda x: str(int(x))
+    out = [F.median("er").alias("med_route"), F.median("ep").alias("med_pos"), F.percentile("er", 0.95).alias("p95_route"), F.percentile("ep", 0.95).alias("p95_pos"), F.max("er").alias("max_route"), F.max("ep").alias("max_pos"), F.max("sp").alias("lead"), F.min("sp").alias("lag")]
+    out += [share(col("ep") < b).alias(f"below_{named(b)}") for b in bands] + [share(col("ep") >= b).alias(f"from_{named(b)}") for b in long] + [share(col("ep") < col("er")).alias("closer"), F.median("dt").alias("step")]
+    result = d.groupBy("trip_id").agg(*out)
+    for b in long:
+        over = col("ep") > b
+        g = d.withColumn("over", over).withColumn("run", F.sum((~over).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        longest = g.where("over").groupBy("trip_id", "run").agg(F.count("*").alias("n")).groupBy("trip_id").agg(F.max("n").alias("n"))
+        result = result.join(longest, "trip_id", "left").withColumn(f"run_{named(b)}", F.coalesce(col("n") * col("step"), F.lit(0.0))).drop("n")
+    return result.drop("step")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bends, corridors, curves, evaluation, evidence, files, live, matching, motion, network, places, scalars, signals, temporal
+from . import bends, corridors, curves, evaluation, evidence, files, live, matching, motion, network, places, scalars, signals, temporal, whole
 
-PARTS = (scalars, temporal, network, evidence, motion, files, places, live, signals, matching, curves, corridors, bends, evaluation)
+PARTS = (scalars, temporal, network, evidence, motion, files, places, live, signals, matching, curves, corridors, bends, evaluation, whole)
 
 
 def entry(spark, sf_dir):

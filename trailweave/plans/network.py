@@ -82,5 +82,5 @@ put("FI-05", lambda spark, d: faults.covered(fixes(spark, d), FAULTS).groupBy("k
 put("ML-06", lambda spark, d: models.threshold_fit(fixes(spark, d).select(c("acc").alias("x"), c("speed").alias("y")), [10.0, 30.0, 50.0, 70.0]).select("knot", r4(c("slope")).alias("slope"), r4(c("sse")).alias("sse")), "with k as (select unnest([10.0e0, 30.0e0, 50.0e0, 70.0e0]) as knot), h as (select knot, greatest(0.0e0, acc - knot) as x, speed as y from fixes cross join k), m as (select knot, regr_slope(y, x) as slope, regr_syy(y, x) - pow(regr_sxy(y, x), 2) / regr_sxx(y, x) as sse from h group by 1) select knot, round(slope, 4) as slope, round(sse, 4) as sse from m", "fixes")
 put("ML-04", lambda spark, d: models.lookup(fixes(spark, d), "acc", [(0.0, 0.0), (20.0, 1.5), (60.0, 2.0), (90.0, 6.0)]).select("trip_id", "seq", r6(c("y")).alias("y")), "select trip_id, seq, round(case when acc <= 20.0e0 then 0.0e0 + 1.5e0 * (acc - 0.0e0) / 20.0e0 when acc <= 60.0e0 then 1.5e0 + 0.5e0 * (acc - 20.0e0) / 40.0e0 when acc <= 90.0e0 then 2.0e0 + 4.0e0 * (acc - 60.0e0) / 30.0e0 else 6.0e0 end, 6) as y from fixes", "fixes")
 put("ML-01_pooled", lambda spark, d: models.ridge(fixes(spark, d), ["acc", "course"], "speed", 1.0), None)
-put("WN-15", lambda spark, d: models.clock_offset(imu(spark, d), [-2, -1, 0, 1, 2]).select("trip_id", "lag", r6(c("corr")).alias("corr")), "with l as (select unnest([-2, -1, 0, 1, 2]) as lag_), j as (select a.trip_id, l.lag_, corr(a.yaw, b.a_long) as r from imu a cross join l join imu b on b.trip_id = a.trip_id and b.n = a.n + l.lag_ group by 1, 2) select trip_id, lag_ as lag, round(r, 6) as corr from (select *, row_number() over (partition by trip_id order by round(r, 9) desc, lag_) as rk from j where r is not null and not isnan(r)) where rk = 1", "fixes", "imu")
+put("WN-15_coarse", lambda spark, d: models.clock_offset(imu(spark, d), [-2, -1, 0, 1, 2]).select("trip_id", "lag", r6(c("corr")).alias("corr")), "with l as (select unnest([-2, -1, 0, 1, 2]) as lag_), j as (select a.trip_id, l.lag_, corr(a.yaw, b.a_long) as r from imu a cross join l join imu b on b.trip_id = a.trip_id and b.n = a.n + l.lag_ group by 1, 2) select trip_id, lag_ as lag, round(r, 6) as corr from (select *, row_number() over (partition by trip_id order by round(r, 9) desc, lag_) as rk from j where r is not null and not isnan(r)) where rk = 1", "fixes", "imu")
 put("TX-11", lambda spark, d: models.places(table(spark, d, "embeddings"), 100, 3).select("query", "vec_id", "rank", F.round("sim", 5).alias("sim")), "with q as (select vec_id as query, embedding as e from embeddings where vec_id % 100 = 0), s as (select query, v.vec_id, list_sum(list_transform(range(1, 65), lambda i: cast(q.e[i] as double) * cast(v.embedding[i] as double))) / (sqrt(list_sum(list_transform(q.e, lambda x: cast(x as double) * cast(x as double)))) * sqrt(list_sum(list_transform(v.embedding, lambda x: cast(x as double) * cast(x as double))))) as sim from q cross join embeddings v where v.vec_id <> q.query) select query, vec_id, rk as rank, round(sim, 5) as sim from (select *, row_number() over (partition by query order by sim desc, vec_id) as rk from s) where rk <= 3")

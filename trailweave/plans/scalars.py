@@ -95,7 +95,7 @@ put("FN-31", over_fixes("round(east + way * cos(mid), 5) as e, round(north + way
 put("FN-33", over_fixes("round(4.0e0 + 0.15e0 * greatest(0.0e0, k - 30.0e0), 6) as sigma", lambda: dict(sigma=r6(gates.cross_track_sigma(c("k") - 30.0)))))
 put("FN-34", over_fixes("round(least(greatest(3000.0e0 + k * 20.0e0 * 15.0e0, 8000.0e0), 25000.0e0), 6) as radius", lambda: dict(radius=r6(gates.clip_radius(c("k") * 20.0)))))
 put("FN-37", over_fixes("strftime(timestamp '2024-01-01 00:00:00' + to_seconds(event_id), '%Y-%m-%dT%H:%M:%SZ') as iso, case when k % 9 <> 0 then event_id end as parsed", lambda: dict(iso=F.date_format(F.timestamp_seconds(c("event_id") + 1704067200), "yyyy-MM-dd'T'HH:mm:ss'Z'"), parsed=F.unix_seconds(F.try_to_timestamp(F.when(c("k") % 9 == 0, "not a time").otherwise(F.date_format(F.timestamp_seconds(c("event_id") + 1704067200), "yyyy-MM-dd'T'HH:mm:ss'Z'")))) - 1704067200)))
-put("FN-38", over_fixes("sha256(event_type || ':' || cast(event_id as varchar)) as digest", lambda: dict(digest=F.sha2(F.concat_ws(":", "event_type", c("event_id").cast("string")), 256))))
+put("FN-38_sha", over_fixes("sha256(event_type || ':' || cast(event_id as varchar)) as digest", lambda: dict(digest=F.sha2(F.concat_ws(":", "event_type", c("event_id").cast("string")), 256))))
 put("FN-40", over_fixes("coalesce(case when k % 10 = 0 then null else k - 20.0e0 end >= 0, false) and abs(lat) <= 90 and t >= 0 as usable, k % 6 <> 1 and (k % 4 = 0 or k >= 40) as course_ok, k % 8 > 2 as speed_ok", lambda: dict(usable=gates.usable(c("t"), c("lat"), c("lon"), F.when(c("k") % 10 != 0, c("k") - 20.0)), course_ok=gates.valid_course(F.when(c("k") % 6 == 1, -1.0).otherwise(c("course")), F.when(c("k") % 4 != 0, c("k") - 40.0)), speed_ok=F.coalesce(F.when(c("k") % 8 == 0, None).otherwise((c("k") % 8) - 3.0) >= 0, F.lit(False)))))
 put("ML-03", over_fixes("round(greatest(1.5e0, least(20.0e0, speed * greatest(1.5e0, least(3.0e0, k / 25.0e0)))), 6) as sigma", lambda: dict(sigma=r6(gates.deployment_sigma(c("speed"), c("k") / 25.0)))))
 put("FL-02", (lambda spark, d: fixes(spark, d).where(c("t").between(100.0, 1000.0)).select("trip_id", "seq", r6(c("t")).alias("t")), sql("select trip_id, seq, round(t, 6) as t from fixes where t between 100.0e0 and 1000.0e0", "fixes")))
@@ -110,7 +110,7 @@ def rejections(spark, d):
 
 put("FL-01", (rejections, sql("select trip_id, case when coalesce(a >= 0, false) and abs(la) <= 90 then null when case when coalesce(a, 0) = 0 then -1.0e0 else a end < 0 then 'negative_accuracy' else 'invalid_coordinates_or_time' end as why, count(*) as n from (select *, case k % 10 when 0 then null when 1 then 0.0e0 else k - 20.0e0 end as a, case when k % 7 = 0 then 95.0e0 else lat end as la from fixes) group by 1, 2", "fixes")))
 put("FL-12", over_fixes("case when peaky and junction and not (spread and bend) then 'junction' when spread and bend and not peaky then 'bend' when bend and junction then 'ambiguous' when bend then 'bend' when junction then 'junction' else 'reject' end as kind from (select *, k % 3 <> 0 as bend, speed < 18.0e0 as junction, k / 250.0e0 > 0.18e0 and abs(speed / 10.0e0) / greatest(k / 250.0e0 * (1.0e0 + k % 10), 1e-6) > 0.75e0 as peaky, k / 250.0e0 < 0.16e0 and 1.0e0 + k % 10 > 6.0e0 as spread from fixes)", lambda: dict(kind=gates.classify_event(c("speed") / 10.0, c("k") / 250.0, 1.0 + c("k") % 10, c("k") % 3 != 0, c("speed")))))
-put("FL-13", (lambda spark, d: fixes(spark, d).groupBy("trip_id").agg(F.count_if(c("t") <= 300.0).alias("visible"), F.count_if(c("t") > 300.0).alias("withheld")), sql("select trip_id, count(*) filter (where t <= 300.0e0) as visible, count(*) filter (where t > 300.0e0) as withheld from fixes group by 1", "fixes")))
+put("FL-13_fixed", (lambda spark, d: fixes(spark, d).groupBy("trip_id").agg(F.count_if(c("t") <= 300.0).alias("visible"), F.count_if(c("t") > 300.0).alias("withheld")), sql("select trip_id, count(*) filter (where t <= 300.0e0) as visible, count(*) filter (where t > 300.0e0) as withheld from fixes group by 1", "fixes")))
 
 
 def over_texts(sql_columns: str, columns):

@@ -170,7 +170,7 @@ put("AG-08", lambda spark, d: states(spark, d).withColumn("whys", F.filter(F.arr
     "select trip_id, count(*) as tested, count(*) filter (where k % 3 <> 0 and k % 5 <> 0 and accepted) as accepted, count(*) filter (where k % 3 = 0 or k % 5 = 0 or not accepted) as rejected, count(*) filter (where k % 3 = 0) as physical, count(*) filter (where k % 5 = 0) as speed, count(*) filter (where not accepted) as course from states group by 1", "states")
 put("AG-11", lambda spark, d: imu(spark, d).groupBy("trip_id", F.floor(c("n") / 20).alias("bucket")).agg(r6(F.expr("percentile(abs(a_long), 0.9)")).alias("a90"), r6(F.expr("percentile(abs(yaw), 0.9)")).alias("w90"), F.count_if(F.abs("a_long") > 1.8).alias("shocks"), r6(F.avg((F.abs("yaw") < 0.03).cast("double"))).alias("quiet")),
     "select trip_id, n // 20 as bucket, round(quantile_cont(abs(a_long), 0.9), 6) as a90, round(quantile_cont(abs(yaw), 0.9), 6) as w90, count(*) filter (where abs(a_long) > 1.8e0) as shocks, round(avg(case when abs(yaw) < 0.03e0 then 1.0e0 else 0.0e0 end), 6) as quiet from imu group by 1, 2", "imu")
-put("AG-13", lambda spark, d: reference(spark, d).withColumn("dt", c("t") - F.lag("t").over(Window.partitionBy("trip_id").orderBy("t"))).withColumn("step", F.hypot(c("re") - F.lag("re").over(Window.partitionBy("trip_id").orderBy("t")), c("rn") - F.lag("rn").over(Window.partitionBy("trip_id").orderBy("t")))).groupBy("trip_id").agg(F.count_if(c("step") > 60 * c("dt")).alias("wild"), F.count_if(c("dt") > 20.0).alias("gaps")),
+put("AG-13_steps", lambda spark, d: reference(spark, d).withColumn("dt", c("t") - F.lag("t").over(Window.partitionBy("trip_id").orderBy("t"))).withColumn("step", F.hypot(c("re") - F.lag("re").over(Window.partitionBy("trip_id").orderBy("t")), c("rn") - F.lag("rn").over(Window.partitionBy("trip_id").orderBy("t")))).groupBy("trip_id").agg(F.count_if(c("step") > 60 * c("dt")).alias("wild"), F.count_if(c("dt") > 20.0).alias("gaps")),
     "select trip_id, count(*) filter (where step > 60 * dt) as wild, count(*) filter (where dt > 20.0e0) as gaps from (select *, t - lag(t) over w as dt, sqrt((re - lag(re) over w) * (re - lag(re) over w) + (rn - lag(rn) over w) * (rn - lag(rn) over w)) as step from reference window w as (partition by trip_id order by t)) group by 1", "reference")
 put("AG-14", lambda spark, d: fixes(spark, d).select("trip_id", "seq", F.round((c("k") - 50) * F.cos(c("course") / 60.0) + c("speed") * F.sin(c("course") / 60.0), 6).alias("along"), F.round(-(c("k") - 50) * F.sin(c("course") / 60.0) + c("speed") * F.cos(c("course") / 60.0), 6).alias("cross")),
     'select trip_id, seq, 0.0e0 + round((k - 50) * cos(course / 60.0e0) + speed * sin(course / 60.0e0), 6) as along, 0.0e0 + round(-(k - 50) * sin(course / 60.0e0) + speed * cos(course / 60.0e0), 6) as "cross" from fixes', "fixes")
@@ -206,7 +206,7 @@ def spearman(spark, d):
 
 
 put("AG-35", spearman, "select trip_id, round(case when count(*) > 2 then corr(a, b) end, 6) as rho from (select trip_id, rank() over (partition by trip_id order by speed) + (count(*) over (partition by trip_id, speed) - 1) / 2.0e0 as a, rank() over (partition by trip_id order by k) + (count(*) over (partition by trip_id, k) - 1) / 2.0e0 as b from fixes) group by 1", "fixes")
-put("AG-36", lambda spark, d: islands.by_change(fixes(spark, d).withColumn("bad", c("acc") > 60.0), ["trip_id"], ["seq"], c("bad")).groupBy("trip_id", "island", "bad").agg((F.max("t") - F.min("t")).alias("len"), F.count("*").alias("n")).groupBy("trip_id").agg(r6(F.max(F.when(c("bad"), c("len")))).alias("longest"), r6(F.sum(F.when(c("bad"), c("n")).otherwise(0)) / F.sum("n")).alias("share")), """
+put("AG-36_longest", lambda spark, d: islands.by_change(fixes(spark, d).withColumn("bad", c("acc") > 60.0), ["trip_id"], ["seq"], c("bad")).groupBy("trip_id", "island", "bad").agg((F.max("t") - F.min("t")).alias("len"), F.count("*").alias("n")).groupBy("trip_id").agg(r6(F.max(F.when(c("bad"), c("len")))).alias("longest"), r6(F.sum(F.when(c("bad"), c("n")).otherwise(0)) / F.sum("n")).alias("share")), """
 with a as (select *, acc > 60.0e0 as bad from fixes), b as (select *, case when bad is distinct from lag(bad) over (partition by trip_id order by seq) then 1 else 0 end as ch from a),
 r as (select *, sum(ch) over (partition by trip_id order by seq rows unbounded preceding) as island from b), g as (select trip_id, island, bad, max(t) - min(t) as len, count(*) as n from r group by 1, 2, 3)
 select trip_id, round(max(case when bad then len end), 6) as longest, round(cast(sum(case when bad then n else 0 end) as double) / cast(sum(n) as double), 6) as share from g group by 1""", "fixes")
