@@ -82,16 +82,17 @@ put("SRC-09", lambda spark, d: rounded(logs.anchors(spark, anchor_log(spark, d))
     "select cast(k as varchar) as anchor_id, count(*) as n, count(*) filter (where k % 4 = 0) as clamped, round(avg(course * 2 - 90 - 360.0e0 * floor((course * 2 - 90) / 360.0e0)), 7) as course, count(*) filter (where k % 5 <> 0) as residuals, 0::bigint as bound from fixes where good group by k", "fixes")
 
 
+SI_COLUMNS = ["time", "ax", "ay", "az", "gx", "gy", "gz", "quat_w", "quat_x", "quat_y", "quat_z", *(f"x{i}" for i in range(10))]
+
+
 def si_log(spark, d):
-    names = ["time", "ax", "ay", "az", "gx", "gy", "gz", "quat_w", "quat_x", "quat_y", "quat_z"]
+    """A log in as many files as tasks wrote; its columns are told beside it."""
     cells = [c("t"), c("a_long"), F.lit(0.0), F.lit(9.80665), F.lit(0.0), F.lit(0.0), c("yaw"), F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)]
     full = F.concat_ws(",", *[x.cast("string") for x in cells], *[F.lit("0")] * 9, F.when(c("h") % 17 == 0, "0,0").otherwise("0"))
-    lines = imu(spark, d).select(F.concat(c("trip_id"), F.lit(":"), c("n")).alias("o"), full.alias("value"))
-    header = spark.createDataFrame([("", ",".join(names + [f"x{i}" for i in range(10)]))], "o string, value string")
-    return written(header.unionByName(lines).coalesce(1).sortWithinPartitions("o").select("value"), "si-imu")
+    return written(imu(spark, d).select(full.alias("value")), "si-imu")
 
 
-put("SRC-10", lambda spark, d: rounded(logs.imu_si(spark, si_log(spark, d)).groupBy("time").agg(F.count("*").alias("n"), F.sum("ax").alias("ax"), F.max("az").alias("az"), F.sum("gz").alias("gz")), 5),
+put("SRC-10", lambda spark, d: rounded(logs.imu_si(spark, si_log(spark, d), header=SI_COLUMNS).groupBy("time").agg(F.count("*").alias("n"), F.sum("ax").alias("ax"), F.max("az").alias("az"), F.sum("gz").alias("gz")), 5),
     "select round(t, 5) as time, count(*) as n, round(sum(a_long / 9.80665e0), 5) as ax, 1.0e0 as az, round(sum(degrees(yaw)), 5) as gz from imu where h % 17 <> 0 group by t", "imu")
 
 
