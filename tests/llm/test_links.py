@@ -91,14 +91,14 @@ def plain_collocations(rows, least, share, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard_words", [40, 2_000_000])
-def test_collocations_equal_plain_counts(spark, odd, empty, shard_words):
+@pytest.mark.parametrize("shard_bytes", [200, 7_000_000])
+def test_collocations_equal_plain_counts(spark, odd, empty, shard_bytes):
     rng = random.Random(7)
     words = ["The", "the", "old", "bridge", "é", "river", "a.b", "x,", "stone\n", "\tof", "end!", "no-one"]
     rows = [(rng.choice(["en", "de", None]), " ".join(rng.choices(words, k=rng.randrange(30)))) for _ in range(400)] + [("en", None), ("en", ""), ("fr", " . ")]
     rows += [("en", "very seldom seen")] * 12 + [("de", "a a a a a")] * 7
     want = plain_collocations(rows, 10, 50, 30)
-    got = phrases.collocations(spark.createDataFrame(rows, "lang string, text string"), top=30, shard_words=shard_words).collect()
+    got = phrases.collocations(spark.createDataFrame(rows, "lang string, text string"), top=30, shard_bytes=shard_bytes).collect()
     assert sorted(map(tuple, got)) == want and len(want) > 60
     assert phrases.collocations(empty).collect() == []
     want = plain_collocations([(r["lang"], r["text"]) for r in odd.collect()], 2, 50, 50)
@@ -108,11 +108,20 @@ def test_collocations_equal_plain_counts(spark, odd, empty, shard_words):
 def test_phrase_counts_of_other_lengths():
     rng = random.Random(8)
     for longest in (1, 2, 4, 5):
-        words = phrases.words_of(" ".join(rng.choices(["a", "b", "c", "d.", "e\n"], k=300)))
-        phrase, k, f = phrases.phrase_counts(words, longest)
-        pieces = [p.split() for p in b" ".join(words).split(phrases.END)]
-        want = collections.Counter(b" ".join(p[i : i + n]) for p in pieces for n in range(1, longest + 1) for i in range(len(p) - n + 1))
-        assert dict(zip(phrase.to_pylist(), f.tolist(), strict=True)) == want
+        text, shard = " ".join(rng.choices(["a", "b", "c", "d.", "e\n"], k=300)), phrases.Shard()
+        shard.add(text)
+        pieces = [p.split() for p in text.replace("\n", ".").split(".")]
+        for n in range(1, longest + 1):
+            phrase, f = phrases.phrase_counts(shard, n)
+            assert dict(zip(phrase.to_pylist(), f.tolist(), strict=True)) == collections.Counter(" ".join(p[i : i + n]) for p in pieces for i in range(len(p) - n + 1))
+
+
+def test_filter_holds_all_that_it_was_made_of(spark):
+    rng = random.Random(10)
+    keys = [("en", "".join(rng.choices("abcdé ", k=7))) for _ in range(3000)]
+    known = phrases.Filter.of(spark.createDataFrame(keys, "lang string, phrase string"))
+    assert known.holds("en", [p for _, p in keys]).all()
+    assert known.holds("en", [f"x{i}" for i in range(3000)]).mean() < 0.02 and known.holds("de", [p for _, p in keys]).mean() < 0.02
 
 
 def plain_alignment(texts):
