@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trailweave.operators import bends, corridors, curves, evaluation
 from trailweave.plans import catalog
 
-NEW = ["GR-09", "JN-10", "GR-13", "ST-11", "ST-12", "ST-23", "GR-12", "WN-34", "ST-19", "ML-01", "ML-02", "ML-09", "AG-35_tests", "SS-04", "SS-05", "SS-11", "SS-15"]
+NEW = ["GR-09", "JN-10", "GR-13", "ST-11", "ST-12", "ST-23", "GR-12", "WN-34", "ST-19", "ML-01", "ML-02", "ML-09", "AG-35_tests", "SS-04", "SS-05", "SS-11", "SS-13", "SS-15"]
 VERTICES = "edge long, u long, v long, i long, x double, y double, highway string"
 
 

@@ -157,3 +157,32 @@ def settling(spark, d):
 put("SS-15", settling, """with k as (select a.trip_id, a.n as turn, min(b.t) filter (where b.t >= a.t + 1.0e0) as usable, a.t - 0.2e0 as peak, a.trip_id as q from imu a join imu b on b.trip_id = a.trip_id and b.n > a.n where a.h % 23 = 5 group by a.trip_id, a.n, a.t)
 select trip_id, turn, 'usable' as what, round(usable, 6) as t from k where usable is not null
 union all select k.trip_id, turn, 'expired', round(min(b.t), 6) from k join imu b on b.trip_id = k.trip_id and b.t > k.usable and b.t - k.peak > 5.0e0 group by 1, 2""", "imu")
+
+
+def late_measurements(spark, d):
+    """Speeds of fixes, every ninth a batch late, every thirteenth later still, filtered; a lag of a third of the trip's fixes."""
+    f = fixes(spark, d).select("trip_id", "seq", "speed", F.max("seq").over(Window.partitionBy("trip_id")).alias("most"))
+    part = F.floor((c("seq") - 1) * BATCHES / c("most"))
+    later = F.when(c("seq") % 13 == 6, 3).when(c("seq") % 9 == 4, 1).otherwise(0)
+    rows = f.select("trip_id", F.least(F.lit(BATCHES - 1), part + later).alias("part"), "seq", (c("seq") * 1.0).alias("t"), c("speed").alias("z"))
+    ends = f.select("trip_id", F.lit(BATCHES - 1).cast("long").alias("part"), (c("most") + 1).alias("seq"), (c("most") + 1.0).alias("t"), F.lit(None).cast("double").alias("z")).distinct()
+    rows = rows.unionByName(ends).withColumn("arrival", c("part") * 1_000_000 + c("seq"))
+    stream = source(spark, rows.select("trip_id", at(c("arrival") / 1000.0).alias("ts"), "arrival", "t", "z", "part"), part=c("part"))
+    return rounded(ended(session.delayed(stream, lag=6.0)).select("trip_id", "t", "z", "level", "var", "what"), 5)
+
+
+put("SS-13", late_measurements, """with recursive f as (select trip_id, seq, speed as z, max(seq) over (partition by trip_id) as most from fixes
+), a as (
+  select *, seq * 1.0e0 as t, least(3, ((seq - 1) * 4) // most + case when seq % 13 = 6 then 3 when seq % 9 = 4 then 1 else 0 end) * 1000000 + seq as arrival from f
+), w as (
+  select *, max(t) over (partition by trip_id order by arrival rows between unbounded preceding and 1 preceding) as newest from a
+), k as (
+  select *, coalesce(t < newest - 6.0e0, false) as late from w
+), told as (
+  select trip_id, t, z, row_number() over (partition by trip_id order by t) as rn from k where not late
+), r as (
+  select trip_id, t, z, rn, 25.0e0 / 27.0e0 * z as level, 25.0e0 * 2.0e0 / 27.0e0 as var from told where rn = 1
+  union all
+  select r.trip_id, n.t, n.z, n.rn, r.level + (r.var + 0.5e0 * (n.t - r.t)) / (r.var + 0.5e0 * (n.t - r.t) + 2.0e0) * (n.z - r.level), (r.var + 0.5e0 * (n.t - r.t)) * 2.0e0 / (r.var + 0.5e0 * (n.t - r.t) + 2.0e0) from r join told n on n.trip_id = r.trip_id and n.rn = r.rn + 1
+)
+select trip_id, round(t, 5) as t, round(z, 5) as z, round(level, 5) as level, round(var, 5) as var, 'told' as what from r union all select trip_id, round(t, 5), round(z, 5), null, null, 'too_late' from k where late""", "fixes")

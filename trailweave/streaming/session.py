@@ -114,3 +114,46 @@ def settled(stream: DataFrame, settle: float = 1.0, age: float = 60.0, idle: int
 
     kept = "name array<long>, end array<double>, peak array<double>, usable array<boolean>"
     return stream.withWatermark("ts", late).groupBy("trip_id").applyInPandasWithState(run, "trip_id long, turn long, what string, t double", kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def delayed(stream: DataFrame, lag: float = 12.0, drift: float = 0.5, noise: float = 2.0, start: float = 25.0) -> DataFrame:
+    """A level filtered through measurements that may come late: trip_id, t, z, level, var, in order of ``t``; late ones apart.
+
+    Rows are (trip_id, arrival, t, z). The state keeps the filter as it stood ``lag`` seconds before the newest time, and the
+    measurements since, in order; a measurement is folded in, and told, once nothing earlier can come any more, so the result is
+    that of all of them sorted. One that comes more than ``lag`` behind the newest, or not after the last that is told, is
+    ``too_late``, with null level. A row without a measurement ends the trip: what is held is told. Between measurements the
+    variance grows by ``drift`` a second; ``noise`` is the variance of one, ``start`` that of the first level, zero.
+    """
+    columns = ["trip_id", "t", "z", "level", "var", "what"]
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, level, var, newest, times, values = state.get if state.exists else (None, 0.0, start, None, [], [])
+        held, out = list(zip(times, values, strict=True)), []
+
+        def fold(until: float) -> None:
+            nonlocal last, level, var, held
+            held.sort()
+            while held and held[0][0] < until:
+                t, z = held.pop(0)
+                var += 0.0 if last is None else drift * (t - last)
+                gain = var / (var + noise)
+                last, level, var = t, level + gain * (z - level), (1 - gain) * var
+                out.append((key[0], t, z, level, var, "told"))
+
+        rows = pd.concat(list(batches)).sort_values("arrival")
+        for t, z in zip(rows["t"], rows["z"], strict=True):
+            if pd.isna(z):
+                fold(float("inf"))
+            elif newest is not None and t < newest - lag or last is not None and t <= last:
+                out.append((key[0], t, z, None, None, "too_late"))
+            else:
+                held.append((float(t), float(z)))
+                newest = t if newest is None else max(newest, t)
+                fold(newest - lag)
+        state.update((last, level, var, newest, [t for t, _ in held], [z for _, z in held]))
+        if out:
+            yield pd.DataFrame(out, columns=columns).astype({"level": "float64", "var": "float64"})
+
+    kept = "last double, level double, var double, newest double, times array<double>, vals array<double>"
+    return stream.groupBy("trip_id").applyInPandasWithState(run, "trip_id long, t double, z double, level double, var double, what string", kept, "append", GroupStateTimeout.NoTimeout)
