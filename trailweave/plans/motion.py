@@ -167,8 +167,8 @@ put("GR-08", lambda spark, d: rounded(polylines(spark, d), 4),
     """with p as (select distinct node // 5 as route, node, x, y from nodes), q as (select *, sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)) as step from p window w as (partition by route order by node))
 select route, row_number() over (partition by route order by node) - 1 as i, x, y, round(coalesce(sum(step) over (partition by route order by node), 0.0e0), 4) as way from q""", "nodes")
 
-by_seq = Window.partitionBy("trip_id").orderBy("seq")
-put("GR-14", lambda spark, d: fixes(spark, d).select("trip_id", "seq", F.row_number().over(by_seq).cast("long").alias("n"), F.array_join(F.transform(F.collect_list(c("k") % 9).over(by_seq.rowsBetween(-2, 0)), lambda x: x.cast("string")), ",").alias("tail")),
+by_seq = lambda: Window.partitionBy("trip_id").orderBy("seq")
+put("GR-14", lambda spark, d: fixes(spark, d).select("trip_id", "seq", F.row_number().over(by_seq()).cast("long").alias("n"), F.array_join(F.transform(F.collect_list(c("k") % 9).over(by_seq().rowsBetween(-2, 0)), lambda x: x.cast("string")), ",").alias("tail")),
     "select trip_id, seq, count(*) over w as n, array_to_string(list_slice(list(k % 9) over w, -3, -1), ',') as tail from fixes window w as (partition by trip_id order by seq)", "fixes")
 
 
