@@ -182,17 +182,23 @@ def counted(df: DataFrame, n: int, known: Filter | None = None, lang_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[str, Shard] = {}
+        held = 0
         for batch in batches:
-            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-                shards.setdefault(lang.as_py(), Shard()).add(text.as_py())
-                if sum(s.size for s in shards.values()) >= shard_bytes:  # the fullest language makes room
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shard = shards.get(lang) or shards.setdefault(lang, Shard())
+                shard.add(text)
+                held += len(text) + 1
+                if held >= shard_bytes:  # the fullest language makes room
                     most = max(shards, key=lambda x: shards[x].size)
+                    held -= shards[most].size
                     yield from rows(most, shards.pop(most))
                     pa.default_memory_pool().release_unused()
         for lang, shard in shards.items():
             yield from rows(lang, shard)
 
-    texts = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # no piece crosses a line feed, and a batch of lines is small whatever the texts
+    lines = F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
+    texts = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), lines.alias("text"))
     return texts.mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
