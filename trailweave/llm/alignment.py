@@ -20,20 +20,17 @@ from __future__ import annotations
 
 import functools
 import os
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, staged
+from .common import staged
 from .pieces import MARK, model_of
 
 #: Before a space or line feed that follows anything but white space.
 EDGE = r"(?=[ \n])(?<![\s\x85\p{Z}])"
-HOT, LONG = 1 << 18, 48
-MS = 32  # bits for how often a pair is linked
+HOT, LONG = 1 << 19, 48
 
 
 class Tokens:
@@ -77,61 +74,69 @@ def tokens_of(byte_file: str, piece_file: str) -> Tokens:
     return Tokens(byte_file, piece_file)
 
 
-def tokenized(segments: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
-    """Distinct ``segments`` (segment, n) with n_a, n_b, ids and lens (those of A, then those of B), and whether both spell the segment."""
+def tokenized(segment: Column, byte_file: str, piece_file: str) -> Column:
+    """n_a, n_b, ids and lens (those of A, then those of B) of a segment, and whether both spell it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_a int, n_b int, good boolean, ids array<int>, lens array<smallint>")
+    def run(texts: pd.Series) -> pd.DataFrame:
         model = tokens_of(byte_file, piece_file)
-        for batch in batches:
-            texts = batch["segment"].tolist()
-            ids_a, ids_b, lens, good = model.of_a(texts), model.of_b(texts), [], []
-            for text, a, b in zip(texts, ids_a, ids_b, strict=True):
-                of_a, of_b = [model.a_bytes[i] for i in a], [model.b_bytes[i] for i in b]
-                lens.append([*map(len, of_a), *map(len, of_b)])
-                good.append(b"".join(of_a) == text.encode() == b"".join(of_b))
-            yield pd.DataFrame({"segment": texts, "n": batch["n"], "n_a": list(map(len, ids_a)), "n_b": list(map(len, ids_b)), "ids": [a + b for a, b in zip(ids_a, ids_b, strict=True)], "lens": lens, "good": good})
+        of_a, of_b, ids, lens, good = model.of_a(texts.tolist()), model.of_b(texts.tolist()), [], [], []
+        for text, a, b in zip(texts, of_a, of_b, strict=True):
+            said_a, said_b = [model.a_bytes[i] for i in a], [model.b_bytes[i] for i in b]
+            ids.append(a + b)
+            lens.append([*map(len, said_a), *map(len, said_b)])
+            good.append(b"".join(said_a) == text.encode() == b"".join(said_b))
+        return pd.DataFrame({"n_a": list(map(len, of_a)), "n_b": list(map(len, of_b)), "good": good, "ids": ids, "lens": lens})
+
+    return run(segment)
+
 
-    return segments.mapInPandas(run, "segment string, n long, n_a int, n_b int, ids array<int>, lens array<int>, good boolean")
+#: What belongs to a segment and goes with its tokens.
+OWN = ("segment", "n", "n_a", "n_b", "good")
 
 
 def groups(tokens: DataFrame) -> DataFrame:
-    """sid, part (number of the group, from 0), end (of the group, in bytes), a, b (its ids) for each group of segments
-    (sid, n_a, ids, lens)."""
-    each = tokens.repartition("sid").select("sid", "n_a", F.posexplode(F.arrays_zip("ids", "lens")).alias("at", "t"))
-    each = each.select("sid", "at", F.col("t.ids").alias("id"), F.col("t.lens").alias("len"), (F.col("at") >= F.col("n_a")).alias("of_b"))
-    before = Window.partitionBy("sid", "of_b").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    """``OWN``, part (number of the group, from 0), end (of the group, in bytes), a, b (its ids) for each group of segments
+    (``OWN``, ids, lens). Segments are dealt out once, before they are exploded; no later step moves a row."""
+    each = tokens.repartition("segment").select(*OWN, F.posexplode(F.arrays_zip("ids", "lens")).alias("at", "t"))
+    each = each.select(*OWN, "at", F.col("t.ids").alias("id"), F.col("t.lens").alias("len"), (F.col("at") >= F.col("n_a")).alias("of_b"))
+    before = Window.partitionBy("segment", "of_b").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumn("end", F.sum("len").over(before))
-    # both sides stand in the partition of their segment, so they are joined on (sid, end) by grouping
-    ends = each.groupBy("sid", "end").agg(F.max(F.when(~F.col("of_b"), F.col("id"))).alias("a"), F.max(F.when(F.col("of_b"), F.col("id"))).alias("b"))
+    # both sides stand in the partition of their segment, so they are joined on (segment, end) by grouping
+    ends = each.groupBy(*OWN, "end").agg(F.max(F.when(~F.col("of_b"), F.col("id"))).alias("a"), F.max(F.when(F.col("of_b"), F.col("id"))).alias("b"))
     cuts = F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1))
-    ends = ends.withColumn("part", cuts.over(Window.partitionBy("sid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.withColumn("part", cuts.over(Window.partitionBy("segment").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)))
     ids = lambda side: F.transform(F.sort_array(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side)))), lambda x: x[side]).alias(side)
-    return ends.groupBy("sid", "part").agg(F.max("end").alias("end"), ids("a"), ids("b"))
+    return ends.groupBy(*OWN, "part").agg(F.max("end").alias("end"), ids("a"), ids("b"))
 
 
-def linked_pairs(b_size: int) -> Column:
-    """The distinct id pairs of a group, each as (a * ``b_size`` + b) and how often it is linked, in one long."""
-    counted = lambda side: F.transform(F.array_distinct(side), lambda x: F.struct(x.cast("long").alias("id"), F.size(F.filter(side, lambda y: y == x)).cast("long").alias("n")))
-    pair = lambda x, y: F.shiftleft(x["id"] * b_size + y["id"], MS) + x["n"] * y["n"]
-    one = F.array(pair({"id": F.get("a", F.lit(0)).cast("long"), "n": F.lit(1)}, {"id": F.get("b", F.lit(0)), "n": F.lit(1)}))
-    return F.when((F.size("a") == 1) & (F.size("b") == 1), one).otherwise(F.flatten(F.transform(counted("a"), lambda x: F.transform(counted("b"), lambda y: pair(x, y)))))
+def linked_pairs(b_size: int, kind: str) -> tuple[Column, Column]:
+    """The distinct id pairs of a group, as a * ``b_size`` + b, and how often each is linked, null if all are once."""
+    counted = lambda side: F.transform(F.array_distinct(side), lambda x: F.struct(x.alias("id"), F.size(F.filter(side, lambda y: y == x)).alias("n")))
+    pair = lambda x, y: (x.cast("long") * b_size + y).cast(kind)
+    every = lambda of: F.flatten(F.transform(counted("a"), lambda x: F.transform(counted("b"), lambda y: of(x, y))))
+    one = (F.size("a") == 1) & (F.size("b") == 1)
+    links = F.when(one, F.array(pair(F.get("a", F.lit(0)), F.get("b", F.lit(0))))).otherwise(every(lambda x, y: pair(x["id"], y["id"])))
+    repeats = (F.size(F.array_distinct("a")) < F.size("a")) | (F.size(F.array_distinct("b")) < F.size("b"))
+    return links, F.when(repeats, every(lambda x, y: x["n"].cast("long") * y["n"]))
 
 
 def aligned(df: DataFrame, byte_file: str, piece_file: str, text_col: str = "text") -> DataFrame:
-    """One row per distinct segment of the texts: segment, n (its occurrences), good, n_a, n_b, n_groups, n_links, groups, links."""
+    """One row per distinct segment of the texts: segment, n (its occurrences), good, n_a, n_b, n_groups, n_links, groups, links, times."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = df.where(text != "").select(F.explode(F.split(F.concat(F.lit(" "), text), EDGE)).alias("segment")).groupBy("segment").agg(F.count("*").alias("n"))
-    tokens = staged(tokenized(found, byte_file, piece_file).withColumn("sid", F.monotonically_increasing_id()), "align-tokens")
-    b_size = model_of(piece_file).n
-    each = groups(tokens.where("good").select("sid", "n_a", "ids", "lens")).withColumn("links", linked_pairs(b_size))
+    tokens = found.withColumn("t", tokenized(F.col("segment"), byte_file, piece_file)).select("segment", "n", "t.*")
+    a_size, b_size = len(tokens_of(byte_file, piece_file).a_bytes), model_of(piece_file).n
+    links, times = linked_pairs(b_size, "int" if a_size * b_size < 2**31 else "bigint")
+    each = groups(tokens).withColumn("links", links).withColumn("times", times)
+    ones = F.coalesce("times", F.array_repeat(F.lit(1).cast("long"), F.size("links")))
     said = F.concat(F.array_join("a", ","), F.lit("|"), F.array_join("b", ","))
-    whole = each.groupBy("sid").agg(
+    whole = each.groupBy(*OWN).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", said.alias("g")))), lambda x: x["g"]), ";").alias("groups"),
         F.count("*").alias("n_groups"), F.sum(F.size("a").cast("long") * F.size("b")).alias("n_links"), F.flatten(F.collect_list("links")).alias("links"),
+        F.when(F.count("times") > 0, F.flatten(F.collect_list(ones))).alias("times"),
     )
-    out = staged(tokens.select("sid", "segment", "n", "good", "n_a", "n_b").join(whole, "sid", "left").drop("sid"), "align-segments")
-    forget(tokens)
-    return out
+    return staged(whole, "align-segments")
 
 
 def common(table: DataFrame, key: str, limit: int = HOT) -> Column:
@@ -155,7 +160,8 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, limit: int = HOT) ->
 
 
 def assembled(df: DataFrame, byte_file: str, piece_file: str, text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """One row per distinct text that has tokens: node (its digest), copies, n_a, n_b, n_groups, n_links, groups, links."""
+    """One row per distinct text that has tokens: node (its digest), copies, n_a, n_b, n_groups, n_links, groups, and links:
+    the pairs of each segment with how often each is linked (null: once)."""
     table = aligned(df, byte_file, piece_file, text_col)
     text = F.col(text_col)
     texts = df.where(text != "").select(F.unhex(F.md5(text.cast("binary"))).alias("node"), text.alias("text"))
@@ -166,7 +172,7 @@ def assembled(df: DataFrame, byte_file: str, piece_file: str, text_col: str = "t
     def of_text(part: DataFrame, tag: str) -> DataFrame:
         out = part.groupBy("node").agg(
             F.any_value("copies").alias("copies"), F.bool_and("good").alias("good"), *(F.sum(c).alias(c) for c in sums),
-            F.collect_list(F.struct("at", "groups")).alias("groups"), F.flatten(F.collect_list("links")).alias("links"),
+            F.collect_list(F.struct("at", "groups")).alias("groups"), F.collect_list(F.struct("links", "times")).alias("links"),
         )
         return out.withColumnsRenamed({c: f"{c}_{tag}" for c in out.columns if c != "node"})
 
@@ -184,12 +190,13 @@ def digests(df: DataFrame, byte_file: str, piece_file: str, id_col: str = "doc_i
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256: one row per row of ``df``."""
     b_size = model_of(piece_file).n
     texts = staged(assembled(df, byte_file, piece_file, text_col, hot).withColumn("groups", F.sha2("groups", 256)), "align-texts")
-    pair = lambda x: F.shiftright(x, MS)
-    counts = texts.select("copies", F.explode(F.array_distinct(F.transform("links", pair))).alias("pair")).groupBy("pair").agg(F.sum("copies").alias("n"))
+    pairs = F.array_distinct(F.flatten(F.transform("links", lambda x: x["links"])))
+    counts = texts.select("copies", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.sum("copies").alias("n"))
     counts = staged(counts.withColumn("a", F.expr(f"pair div {b_size}")), "align-pairs")
     best = counts.groupBy("a").agg(F.max("n").alias("most"))
     scored = counts.join(best, "a").select("pair", "n", F.col("n").alias("documents"), (F.col("n") == F.col("most")).alias("best"))
-    links = texts.select("node", F.explode("links").alias("x")).select("node", pair(F.col("x")).alias("pair"), F.col("x").bitwiseAND((1 << MS) - 1).alias("m"))
+    links = texts.select("node", F.explode("links").alias("x")).select("node", "x.times", F.posexplode("x.links").alias("at", "pair"))
+    links = links.select("node", "pair", F.coalesce(F.get("times", F.col("at")), F.lit(1)).alias("m"))
     total = [F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("n_best"), F.sum(F.col("m") * F.col("documents")).alias("count_sum")]
     many, few = looked_up(links, scored, "pair", hot)
     sums = many.groupBy("node").agg(*total).unionByName(few.groupBy("node").agg(*total)).groupBy("node").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
