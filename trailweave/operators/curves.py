@@ -90,7 +90,7 @@ def profile(vertices: DataFrame, spacing: float = 2.0, smooth: float = 10.0, flo
 
     The heading is that of the piece that a sample lies on, unwrapped piece by piece and smoothed; kappa is its derivative,
     grad that of kappa; sigma grows with how far the smoothed heading departs from the polyline's. Streets of two samples
-    are straight. Curvature below ``NOISE`` is zero.
+    are straight. Curvature below ``NOISE`` is zero, and so is a departure.
     """
     p = pieces(vertices)
     whole = Window.partitionBy("edge").orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
