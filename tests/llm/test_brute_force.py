@@ -186,6 +186,34 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == dict(enumerate(root))
 
 
+def test_all_that_share_a_crowded_bucket_are_compared(spark):
+    # pairs of similarity 0.8 with a common passage, a fifth of whose words are spread so that few shingles of five are left
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    passage = [word() for _ in range(50)]
+    docs = [passage + [word() for _ in range(50)] for _ in range(60)]
+    for i in range(10):
+        docs.append([*passage, *(word() if j % 5 < 2 else w for j, w in enumerate(docs[i][50:]))])
+    assert all(edit_similarity(docs[i], docs[60 + i]) >= 0.8 for i in range(10))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()}
+    assert got == {i: i % 60 for i in range(70)}
+
+
+@pytest.mark.parametrize("least", [0.8, 0.6])
+def test_the_exact_join_leaves_no_pair_out(spark, least):
+    rng = random.Random(9)
+    docs = []
+    for _ in range(40):
+        base = [rng.randrange(400) for _ in range(rng.randrange(1, 60))]
+        docs += [[rng.randrange(400) if rng.random() < share else w for w in base] for share in (0, 0.1, 0.2, 0.3)]
+    nodes = {bytes([i]): np.array(d, np.uint32) for i, d in enumerate(docs)}
+    seqs = neardup.staged(spark.createDataFrame([(k, d.tobytes()) for k, d in nodes.items()], "node binary, seq binary"), "test-seqs")
+    pairs = neardup.rare_pairs(seqs.select("node"), spark.createDataFrame([], "node binary, root binary"), seqs, least)
+    got = [(bytes(r["u"]), bytes(r["v"])) for r in neardup.verified_in_tiles(pairs, seqs, least, 50).collect()]
+    want = {(u, v) for u in nodes for v in nodes if u > v and neardup.similarity(nodes[u], nodes[v], least) >= least}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 60
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -14,10 +14,9 @@ components of the links. A pair whose words are changed at random is found by it
 Within a bucket members are not paired with each other: each is compared with the most central one, whose buckets are
 largest, and first of all with that of the most of its buckets, so that large groups of copies are joined by one
 comparison each. Where a bucket of more than two leaves a member outside its centre's component, as among texts that
-merely share a frequent passage, all texts of that bucket go through an exact join on their rarest shingles, which holds
-no frequent passage unless it is all there is, and which compares only what no links join yet. It meets every pair of
-which ``least`` of the shingles of either or both are common; near copies with more edits than that meet in the buckets
-of their other shingles, which few texts share. No bucket is capped.
+merely share a frequent passage, all texts of that bucket go through an exact join on their rarest pairs of words, which
+meets every two of them that reach ``least`` and compares only what no links join yet. So all that share a bucket and
+reach ``least`` are in one class. No bucket is capped.
 
 Null text is empty; texts without words are equal if their characters are. A class is named by its least id, null if no
 member has one. Repeated rows belong to one class; an empty table gives no rows.
@@ -38,6 +37,8 @@ from .components import components
 K, PAIR = 5, 2
 BANDS, TAKE = 32, 2
 SHORT, SHORT_BANDS = 75, 12
+#: How many of the rarest shingles two texts must share to be met in the exact join.
+HITS = 8
 LEAST = 0.8
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _seeds = np.random.Generator(np.random.PCG64(20240501))
@@ -199,6 +200,32 @@ def verified(pairs: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInPandas(run, "u binary, v binary")
 
 
+def verified_in_tiles(pairs: DataFrame, seqs: DataFrame, least: float, per_tile: int = 256) -> DataFrame:
+    """The pairs (u, v) that reach the similarity, where a text may be in many: nodes are dealt to tiles of about
+    ``per_tile``, and a text goes once to each two tiles between which it has pairs, not to each pair."""
+    tiles = max(1, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().count() // per_tile)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, texts = None, {}
+        for batch in batches:
+            good = []
+            for k, u, v, seq in zip(batch["key"], batch["u"], batch["v"], batch["seq"], strict=True):
+                if k != key:
+                    key, texts = k, {}
+                if v is None:
+                    texts[u] = np.frombuffer(seq, np.uint32)
+                elif similarity(texts[u], texts[v], least) >= least:
+                    good.append((u, v))
+            yield pd.DataFrame(good, columns=["u", "v"])
+
+    tile = [F.pmod(F.xxhash64(end), F.lit(tiles)) for end in ("u", "v")]
+    keyed = pairs.select((F.least(*tile) * tiles + F.greatest(*tile)).alias("key"), "u", "v")
+    needed = keyed.select("key", F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = needed.join(seqs, "node").select("key", F.col("node").alias("u"), F.lit(None).cast("binary").alias("v"), "seq")
+    rows = texts.unionByName(keyed.withColumn("seq", F.lit(None).cast("binary"))).repartition("key")
+    return rows.sortWithinPartitions("key", F.col("v").asc_nulls_first()).mapInPandas(run, "u binary, v binary")
+
+
 def star_pairs(entries: DataFrame, least: float) -> DataFrame:
     """Each member of a bucket of ``entries`` (bucket, node, n, size, central) with the bucket's most central member, where
     their lengths allow the similarity: bucket, node, size, pivot, u, v."""
@@ -215,37 +242,40 @@ def apart(pairs: DataFrame, roots: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.where(F.coalesce(f"__{a}", a) != F.coalesce(f"__{b}", b)).drop(f"__{a}", f"__{b}")
 
 
-def rare_pairs(nodes: DataFrame, roots: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
+def rare_pairs(nodes: DataFrame, roots: DataFrame, seqs: DataFrame, least: float, hits: int = HITS) -> DataFrame:
     """Pairs (u, v) of an exact join over ``nodes``, between nodes that no links join yet.
 
-    In the order of how many nodes hold them, rarest first, two texts with ``least`` of their labelled shingles in common
-    share one of the first k - ceil(k * least) + 1 of the k shingles of each, so each node is entered under those; shingles
-    of a single node match nothing and only use up their places. A common shingle at places p and q leaves at most
-    1 + min(k - p, m - q) in common, and what can't reach the similarity goes. In each bucket the nodes of its largest
-    component are met by all others, but don't meet each other.
+    An edit spoils at most ``gram`` shingles of ``gram`` words, so two texts of that edit similarity, the longer one of n
+    words, have at least t = ceil(n * (1 - gram * (1 - least))) - gram + 1 labelled shingles in common. In the order of how
+    many nodes hold them, rarest first, ``hits`` of these (or t, if that is less) are among the first k - t + ``hits`` of the
+    k shingles of each, so each node is entered under those; shingles of a single node match nothing and only use up their
+    places. In each bucket the nodes of its largest component are met by all others, but don't meet each other.
     """
+    gram = PAIR if least >= 0.75 else 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "labels": [np.unique(shingles(np.frombuffer(s, np.uint32))).view(np.int64) for s in batch["seq"]]})
+            words = [np.frombuffer(s, np.uint32) for s in batch["seq"]]
+            yield pd.DataFrame({"node": batch["node"], "n": [w.size for w in words], "labels": [np.unique(shingles(w, gram)).view(np.int64) for w in words]})
 
-    held = staged(nodes.join(seqs, "node").mapInPandas(run, "node binary, labels array<bigint>"), "dedup-labels")
-    rows = held.select("node", F.size("labels").alias("k"), F.explode("labels").alias("bucket"))
+    held = staged(nodes.join(seqs, "node").mapInPandas(run, "node binary, n int, labels array<bigint>"), "dedup-labels")
+    common = F.greatest(F.lit(1), (F.ceil(F.col("n") * F.lit(1 - gram * (1 - least)) - 1e-6) - gram + 1).cast("int"))
+    rows = held.select("node", "n", F.size("labels").alias("k"), common.alias("t"), F.explode("labels").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     rows = rows.join(shared, "bucket").withColumn("shared", F.count("*").over(Window.partitionBy("node")))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("size", "bucket"))
-    rows = rows.withColumn("place", F.col("k") - F.col("shared") + rank).where(F.col("place") <= F.col("k") - F.ceil(F.lit(least) * F.col("k")) + 1)
-    rows = rows.select("bucket", "node", "k", "place").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rows.withColumn("need", F.least("t", F.lit(hits))).withColumn("rank", rank).where("rank - shared <= need - t")
+    rows = rows.select("bucket", "node", "n", "need").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = staged(rows, "dedup-rare")
     forget(held)
     parts = rows.groupBy("bucket", "root").agg(F.count("*").alias("size"))
     main = staged(parts.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("bucket", F.col("m.root").alias("main")), "dedup-main")
-    few = rows.join(main, "bucket").where("root != main").select("bucket", F.col("node").alias("node2"), F.col("k").alias("k2"), F.col("place").alias("place2"), F.col("root").alias("root2"))
-    fits = F.least("k", "k2") >= F.lit(least) * F.greatest("k", "k2")
-    left = 1 + F.least(F.col("k") - F.col("place"), F.col("k2") - F.col("place2"))
-    enough = left >= F.ceil(F.lit(least / (1 + least)) * (F.col("k") + F.col("k2")) - 1e-6)
-    both = rows.join(few, (rows["bucket"] == few["bucket"]) & (F.col("root") != F.col("root2")) & fits & enough)
-    out = staged(both.select(F.greatest("node", "node2").alias("u"), F.least("node", "node2").alias("v")).distinct(), "dedup-pairs")
+    few = rows.join(main, "bucket").where("root != main").select("bucket", "main", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("need").alias("need2"), F.col("root").alias("root2"))
+    fits = F.least("n", "n2") >= F.lit(least) * F.greatest("n", "n2") - 1e-6
+    once = (F.col("root") == F.col("main")) | (F.col("node") > F.col("node2"))
+    both = rows.join(few, (rows["bucket"] == few["bucket"]) & (F.col("root") != F.col("root2")) & fits & once)
+    both = both.groupBy(F.greatest("node", "node2").alias("u"), F.least("node", "node2").alias("v")).agg(F.count("*").alias("met"), F.min(F.least("need", "need2")).alias("need"))
+    out = staged(both.where("met >= need").select("u", "v"), "dedup-pairs")
     forget(rows, main)
     return out
 
@@ -276,7 +306,7 @@ def linked(entries: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
     forget(met)
     if not crowd.isEmpty():
         pairs = rare_pairs(crowd, roots, seqs, least)
-        more = staged(verified(pairs, seqs, least), "dedup-links")
+        more = staged(verified_in_tiles(pairs, seqs, least), "dedup-links")
         roots = roots if more.isEmpty() else components(links.unionByName(more))
         forget(pairs)
     forget(seqs, crowd)
