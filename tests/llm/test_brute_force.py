@@ -157,6 +157,15 @@ def test_mix_meets_the_targets_of_small_sources(spark):
     assert sorted(r["taken"] for r in rows(few)) == [4000] * 5 + [6182] + [8000] * 4
 
 
+@pytest.mark.parametrize("words", [8, 400])
+def test_the_size_of_the_table_changes_no_share_of_a_mix(spark, words):
+    # blocks of one word, then of some: a source of few blocks meets its target in both
+    docs = [(i, "w " * words, "c" if i % 40 == 0 else "ab"[i % 2]) for i in range(4000)]
+    got = rows(mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), weights=(5, 5, 0.15), slots=2**15))
+    mine = [r for r in got if r["source"] == "c"]
+    assert sum(r["taken"] for r in mine) == round(mine[0]["target"]) == round(4000 * words * 0.15 / 10.15)
+
+
 def test_targets_hold_small_sources_down():
     got = {s.name: s.target for s in mixing.targets({"a": 10, "b": 1000, None: 1000})}
     assert got["a"] == 30 and got["b"] + got[None] == 1980 and got["b"] == 2 * got[None]
