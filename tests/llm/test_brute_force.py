@@ -223,6 +223,29 @@ def test_the_exact_join_leaves_no_pair_out(spark, least):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 60
 
 
+@pytest.mark.parametrize("wide", [32, 1])
+def test_a_family_below_the_threshold_makes_few_rows_of_pairs(spark, monkeypatch, wide):
+    # copies of one text, each with 75 to 125 of 500 words changed: most pairs stay below 0.8, some reach it
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(500)]
+    docs = []
+    for i in range(90):
+        spoilt = set(rng.sample(range(450), 40 + i))
+        docs.append([f"x{rng.randrange(10**6)}" if j in spoilt else w for j, w in enumerate(base)])
+    seen, plain = [], neardup.verified_in_tiles
+    monkeypatch.setattr(neardup, "verified_in_tiles", lambda pairs, *a, **k: seen.append(pairs.count()) or plain(pairs, *a, **k))
+    monkeypatch.setattr(neardup, "WIDE", wide, raising=False)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()}
+    words = [neardup.word_hashes(" ".join(d)) for d in docs]
+    want = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if want[i] != want[j] and neardup.similarity(words[i], words[j]) >= 0.8:
+                want = [min(want[i], want[j]) if w in (want[i], want[j]) else w for w in want]
+    assert got == dict(enumerate(want)) and 2 < len(set(want)) < 80
+    assert sum(seen) < 1000
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

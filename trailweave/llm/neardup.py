@@ -16,7 +16,8 @@ largest, and first of all with that of the most of its buckets, so that large gr
 comparison each. Where a bucket of more than two leaves a member outside its centre's component, as among texts that
 merely share a frequent passage, all texts of that bucket go through an exact join on their rarest pairs of words, which
 meets every two of them that reach ``least`` and compares only what no links join yet. So all that share a bucket and
-reach ``least`` are in one class. No bucket is capped.
+reach ``least`` are in one class. No bucket is capped: where many texts share a rare pair of words, as in a family of near
+copies that stay below ``least``, they meet in blocks instead of in rows, and what counts of words leave open is aligned.
 
 Null text is empty; texts without words are equal if their characters are. A class is named by its least id, null if no
 member has one. Repeated rows belong to one class; an empty table gives no rows.
@@ -39,6 +40,8 @@ BANDS, TAKE = 32, 2
 SHORT, SHORT_BANDS = 75, 12
 #: How many of the rarest shingles two texts must share to be met in the exact join.
 HITS = 8
+#: The exact join makes rows of pairs in buckets of up to so many members; in larger ones, blocks of nodes meet.
+WIDE, BLOCK = 32, 2048
 LEAST = 0.8
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _seeds = np.random.Generator(np.random.PCG64(20240501))
@@ -242,14 +245,15 @@ def apart(pairs: DataFrame, roots: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.where(F.coalesce(f"__{a}", a) != F.coalesce(f"__{b}", b)).drop(f"__{a}", f"__{b}")
 
 
-def rare_pairs(nodes: DataFrame, roots: DataFrame, seqs: DataFrame, least: float, hits: int = HITS) -> DataFrame:
-    """Pairs (u, v) of an exact join over ``nodes``, between nodes that no links join yet.
+def rare_entries(nodes: DataFrame, roots: DataFrame, seqs: DataFrame, least: float, hits: int = HITS) -> DataFrame:
+    """Entries (bucket, node, n, need, root) of an exact join over ``nodes``: two of them that reach ``least`` share at least
+    as many buckets as either's need.
 
     An edit spoils at most ``gram`` shingles of ``gram`` words, so two texts of that edit similarity, the longer one of n
     words, have at least t = ceil(n * (1 - gram * (1 - least))) - gram + 1 labelled shingles in common. In the order of how
     many nodes hold them, rarest first, ``hits`` of these (or t, if that is less) are among the first k - t + ``hits`` of the
     k shingles of each, so each node is entered under those; shingles of a single node match nothing and only use up their
-    places. In each bucket the nodes of its largest component are met by all others, but don't meet each other.
+    places.
     """
     gram = PAIR if least >= 0.75 else 1
 
@@ -258,25 +262,117 @@ def rare_pairs(nodes: DataFrame, roots: DataFrame, seqs: DataFrame, least: float
             words = [np.frombuffer(s, np.uint32) for s in batch["seq"]]
             yield pd.DataFrame({"node": batch["node"], "n": [w.size for w in words], "labels": [np.unique(shingles(w, gram)).view(np.int64) for w in words]})
 
-    held = staged(nodes.join(seqs, "node").mapInPandas(run, "node binary, n int, labels array<bigint>"), "dedup-labels")
+    held = nodes.join(seqs, "node").mapInPandas(run, "node binary, n int, labels array<bigint>")
     common = F.greatest(F.lit(1), (F.ceil(F.col("n") * F.lit(1 - gram * (1 - least)) - 1e-6) - gram + 1).cast("int"))
     rows = held.select("node", "n", F.size("labels").alias("k"), common.alias("t"), F.explode("labels").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    rows = rows.join(shared, "bucket").withColumn("shared", F.count("*").over(Window.partitionBy("node")))
+    rows = rows.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).where("size > 1")
+    rows = rows.withColumn("shared", F.count("*").over(Window.partitionBy("node")))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("size", "bucket"))
     rows = rows.withColumn("need", F.least("t", F.lit(hits))).withColumn("rank", rank).where("rank - shared <= need - t")
     rows = rows.select("bucket", "node", "n", "need").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = staged(rows, "dedup-rare")
-    forget(held)
+    return staged(rows, "dedup-rare")
+
+
+def rare_buckets(rows: DataFrame) -> DataFrame:
+    """bucket, members and main (the component of most of them) of the buckets in which several components meet."""
     parts = rows.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-    main = staged(parts.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("bucket", F.col("m.root").alias("main")), "dedup-main")
-    few = rows.join(main, "bucket").where("root != main").select("bucket", "main", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("need").alias("need2"), F.col("root").alias("root2"))
+    whole = parts.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("roots"), F.sum("size").alias("members"))
+    return staged(whole.where("roots > 1").select("bucket", "members", F.col("m.root").alias("main")), "dedup-main")
+
+
+def met_pairs(rows: DataFrame, buckets: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) of different components that meet in as many ``buckets`` as they need. In each bucket the nodes of its
+    largest component are met by all others, but don't meet each other."""
+    few = rows.join(buckets, "bucket").where("root != main").select("bucket", "main", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("need").alias("need2"), F.col("root").alias("root2"))
     fits = F.least("n", "n2") >= F.lit(least) * F.greatest("n", "n2") - 1e-6
     once = (F.col("root") == F.col("main")) | (F.col("node") > F.col("node2"))
     both = rows.join(few, (rows["bucket"] == few["bucket"]) & (F.col("root") != F.col("root2")) & fits & once)
     both = both.groupBy(F.greatest("node", "node2").alias("u"), F.least("node", "node2").alias("v")).agg(F.count("*").alias("met"), F.min(F.least("need", "need2")).alias("need"))
-    out = staged(both.where("met >= need").select("u", "v"), "dedup-pairs")
-    forget(rows, main)
+    return staged(both.where("met >= need").select("u", "v"), "dedup-pairs")
+
+
+def rare_pairs(nodes: DataFrame, roots: DataFrame, seqs: DataFrame, least: float, hits: int = HITS) -> DataFrame:
+    """Pairs (u, v) of an exact join over ``nodes``, between nodes that no links join yet, each met in its buckets."""
+    rows = rare_entries(nodes, roots, seqs, least, hits)
+    buckets = rare_buckets(rows)
+    out = met_pairs(rows, buckets, least)
+    forget(rows, buckets)
+    return out
+
+
+def in_common(a: list[np.ndarray], b: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
+    """How many elements each of the sets ``a`` has in common with each of the sets ``b``."""
+    own, other = np.concatenate(a), np.concatenate(b)
+    terms = np.intersect1d(own, other)
+    out = np.zeros((len(a), len(b)), np.float32)
+
+    def placed(sets, flat):
+        at = np.searchsorted(terms, flat)
+        at[at == terms.size] = 0
+        hit = terms[at] == flat if terms.size else np.zeros(flat.size, bool)
+        row, at = np.repeat(np.arange(len(sets)), [s.size for s in sets])[hit], at[hit]
+        order = np.argsort(at, kind="stable")
+        return row[order], at[order]
+
+    (r, i), (q, j) = placed(a, own), placed(b, other)
+    for start in range(0, terms.size, chunk):
+        x, y = np.zeros((len(a), chunk), np.float32), np.zeros((len(b), chunk), np.float32)
+        for m, rows, at in ((x, r, i), (y, q, j)):
+            part = slice(*np.searchsorted(at, (start, start + chunk)))
+            m[rows[part], at[part] - start] = 1
+        out += x @ y.T
+    return out
+
+
+def tile_links(a: list, b: list, least: float) -> list[tuple[bytes, bytes]]:
+    """Links (u, v) between the nodes ``a`` and the nodes ``b`` (node, root, words, wide buckets), or among ``a`` where both are
+    one list: those that join components which no other link of the tile joins. Pairs that share no bucket, or too few
+    words, are left out by counts, the others are compared, likely ones first."""
+    found, parent = [], {}
+
+    def top(x):
+        while parent.get(x, x) != x:
+            x = parent[x] = parent.get(parent[x], parent[x])
+        return x
+
+    bags = [[np.unique(shingles(t[2], 1)) for t in side] for side in (a, b)]
+    n, m = (np.array([t[2].size for t in side]) for side in (a, b))
+    for at in range(0, len(a), 256):
+        rows = slice(at, at + 256)
+        longer = np.maximum(n[rows, None], m[None, :])
+        words = in_common(bags[0][rows], bags[1])
+        good = longer - words <= np.floor((1 - least) * longer + 1e-9)
+        good &= in_common([t[3] for t in a[rows]], [t[3] for t in b]) > 0
+        i, j = np.nonzero(good)
+        if a is b:
+            i, j = i[i + at > j], j[i + at > j]
+        for k in np.argsort(-(words / longer)[i, j], kind="stable").tolist():
+            x, y = a[at + i[k]], b[j[k]]
+            one, two = top(x[1]), top(y[1])
+            if one != two and similarity(x[2], y[2], least) >= least:
+                parent[one] = two
+                found.append((max(x[0], y[0]), min(x[0], y[0])))
+    return found
+
+
+def wide_links(rows: DataFrame, buckets: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) that join all components of which two nodes reach ``least`` and share one of ``buckets``, which have many
+    members. Their nodes are dealt to blocks, and each two blocks meet in one group, where pairs are told apart by counts
+    of whole columns; no pair becomes a row unless it is a link."""
+    held = staged(rows.join(buckets.select("bucket"), "bucket").groupBy("node").agg(F.any_value("root").alias("root"), F.collect_list("bucket").alias("wide")).join(seqs, "node"), "dedup-wide")
+    n = held.count()
+    blocks = max(1, -(-n // BLOCK), min(8, -(-n // 256)))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        sides = {k: [(node, root, np.frombuffer(seq, np.uint32), np.unique(wide)) for node, root, seq, wide in zip(g["node"], g["root"], g["seq"], g["wide"], strict=True)] for k, g in group.groupby("block")}
+        a, *more = sides.values()
+        alone = group["low"].iloc[0] == group["high"].iloc[0]
+        return pd.DataFrame(tile_links(a, a if alone else more[0], least) if alone or more else [], columns=["u", "v"])
+
+    tiled = held.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tiled = tiled.select("node", "root", "seq", "wide", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    out = staged(tiled.groupBy("low", "high").applyInPandas(run, "u binary, v binary"), "dedup-links")
+    forget(held)
     return out
 
 
@@ -305,10 +401,14 @@ def linked(entries: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
     crowd = staged(entries.join(crowded, "bucket", "left_semi").select("node").distinct(), "dedup-crowd")
     forget(met)
     if not crowd.isEmpty():
-        pairs = rare_pairs(crowd, roots, seqs, least)
+        rows = rare_entries(crowd, roots, seqs, least)
+        buckets = rare_buckets(rows)
+        # two that reach the similarity meet in narrow buckets as often as they need, or share a wide one
+        pairs = met_pairs(rows, buckets.where(F.col("members") <= WIDE), least)
         more = staged(verified_in_tiles(pairs, seqs, least), "dedup-links")
+        more = more.unionByName(wide_links(rows, buckets.where(F.col("members") > WIDE), seqs, least))
         roots = roots if more.isEmpty() else components(links.unionByName(more))
-        forget(pairs)
+        forget(pairs, rows, buckets)
     forget(seqs, crowd)
     return roots
 
