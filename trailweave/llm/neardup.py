@@ -247,7 +247,8 @@ def apart(pairs: DataFrame, roots: DataFrame, a: str, b: str) -> DataFrame:
 
 def rare_entries(nodes: DataFrame, roots: DataFrame, seqs: DataFrame, least: float, hits: int = HITS) -> DataFrame:
     """Entries (bucket, node, n, need, root) of an exact join over ``nodes``: two of them that reach ``least`` share at least
-    as many buckets as either's need.
+    as many buckets as either's need. Of a bucket, members counts its entries, and main is the component of most of them;
+    buckets of one component are left out.
 
     An edit spoils at most ``gram`` shingles of ``gram`` words, so two texts of that edit similarity, the longer one of n
     words, have at least t = ceil(n * (1 - gram * (1 - least))) - gram + 1 labelled shingles in common. In the order of how
@@ -260,30 +261,31 @@ def rare_entries(nodes: DataFrame, roots: DataFrame, seqs: DataFrame, least: flo
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             words = [np.frombuffer(s, np.uint32) for s in batch["seq"]]
-            yield pd.DataFrame({"node": batch["node"], "n": [w.size for w in words], "labels": [np.unique(shingles(w, gram)).view(np.int64) for w in words]})
+            yield pd.DataFrame({"number": batch["number"], "n": [w.size for w in words], "labels": [np.unique(shingles(w, gram)).view(np.int64) for w in words]})
 
-    held = nodes.join(seqs, "node").mapInPandas(run, "node binary, n int, labels array<bigint>")
-    common = F.greatest(F.lit(1), (F.ceil(F.col("n") * F.lit(1 - gram * (1 - least)) - 1e-6) - gram + 1).cast("int"))
-    rows = held.select("node", "n", F.size("labels").alias("k"), common.alias("t"), F.explode("labels").alias("bucket"))
+    # short numbers stand for nodes while their shingles are shuffled
+    named = staged(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "dedup-named")
+    named = staged(named.withColumn("number", F.monotonically_increasing_id()), "dedup-numbered")
+    rows = named.join(seqs, "node").select("number", "seq").mapInPandas(run, "number long, n int, labels array<bigint>")
+    rows = rows.select("number", "n", F.explode("labels").alias("bucket"))
     rows = rows.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).where("size > 1")
-    rows = rows.withColumn("shared", F.count("*").over(Window.partitionBy("node")))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("size", "bucket"))
-    rows = rows.withColumn("need", F.least("t", F.lit(hits))).withColumn("rank", rank).where("rank - shared <= need - t")
-    rows = rows.select("bucket", "node", "n", "need").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return staged(rows, "dedup-rare")
-
-
-def rare_buckets(rows: DataFrame) -> DataFrame:
-    """bucket, members and main (the component of most of them) of the buckets in which several components meet."""
-    parts = rows.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-    whole = parts.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("roots"), F.sum("size").alias("members"))
-    return staged(whole.where("roots > 1").select("bucket", "members", F.col("m.root").alias("main")), "dedup-main")
+    rows = rows.withColumn("shared", F.count("*").over(Window.partitionBy("number")))
+    rank = F.row_number().over(Window.partitionBy("number").orderBy("size", "bucket"))
+    common = F.greatest(F.lit(1), (F.ceil(F.col("n") * F.lit(1 - gram * (1 - least)) - 1e-6) - gram + 1).cast("int"))
+    rows = rows.withColumn("rank", rank).withColumn("t", common).withColumn("need", F.least("t", F.lit(hits))).where("rank - shared <= need - t")
+    rows = rows.select("bucket", "number", "n", "need").join(named, "number").drop("number")
+    by_bucket = Window.partitionBy("bucket")
+    rows = rows.withColumn("members", F.count("*").over(by_bucket)).withColumn("roots", F.min("root").over(by_bucket) != F.max("root").over(by_bucket)).where("members > 1 and roots")
+    rows = rows.withColumn("same", F.count("*").over(Window.partitionBy("bucket", "root")))
+    out = staged(rows.withColumn("main", F.max(F.struct("same", "root")).over(by_bucket)["root"]).drop("roots", "same"), "dedup-rare")
+    forget(named)
+    return out
 
 
-def met_pairs(rows: DataFrame, buckets: DataFrame, least: float) -> DataFrame:
-    """Pairs (u, v) of different components that meet in as many ``buckets`` as they need. In each bucket the nodes of its
-    largest component are met by all others, but don't meet each other."""
-    few = rows.join(buckets, "bucket").where("root != main").select("bucket", "main", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("need").alias("need2"), F.col("root").alias("root2"))
+def met_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) of different components that meet in as many buckets of ``rows`` as they need. In each bucket the nodes of
+    its largest component are met by all others, but don't meet each other."""
+    few = rows.where("root != main").select("bucket", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("need").alias("need2"), F.col("root").alias("root2"))
     fits = F.least("n", "n2") >= F.lit(least) * F.greatest("n", "n2") - 1e-6
     once = (F.col("root") == F.col("main")) | (F.col("node") > F.col("node2"))
     both = rows.join(few, (rows["bucket"] == few["bucket"]) & (F.col("root") != F.col("root2")) & fits & once)
@@ -294,9 +296,8 @@ def met_pairs(rows: DataFrame, buckets: DataFrame, least: float) -> DataFrame:
 def rare_pairs(nodes: DataFrame, roots: DataFrame, seqs: DataFrame, least: float, hits: int = HITS) -> DataFrame:
     """Pairs (u, v) of an exact join over ``nodes``, between nodes that no links join yet, each met in its buckets."""
     rows = rare_entries(nodes, roots, seqs, least, hits)
-    buckets = rare_buckets(rows)
-    out = met_pairs(rows, buckets, least)
-    forget(rows, buckets)
+    out = met_pairs(rows, least)
+    forget(rows)
     return out
 
 
@@ -355,11 +356,11 @@ def tile_links(a: list, b: list, least: float) -> list[tuple[bytes, bytes]]:
     return found
 
 
-def wide_links(rows: DataFrame, buckets: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
-    """Links (u, v) that join all components of which two nodes reach ``least`` and share one of ``buckets``, which have many
+def wide_links(rows: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) that join all components of which two nodes reach ``least`` and share a bucket of ``rows``, all of many
     members. Their nodes are dealt to blocks, and each two blocks meet in one group, where pairs are told apart by counts
     of whole columns; no pair becomes a row unless it is a link."""
-    held = staged(rows.join(buckets.select("bucket"), "bucket").groupBy("node").agg(F.any_value("root").alias("root"), F.collect_list("bucket").alias("wide")).join(seqs, "node"), "dedup-wide")
+    held = staged(rows.groupBy("node").agg(F.any_value("root").alias("root"), F.collect_list("bucket").alias("wide")).join(seqs, "node"), "dedup-wide")
     n = held.count()
     blocks = max(1, -(-n // BLOCK), min(8, -(-n // 256)))
 
@@ -402,13 +403,12 @@ def linked(entries: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
     forget(met)
     if not crowd.isEmpty():
         rows = rare_entries(crowd, roots, seqs, least)
-        buckets = rare_buckets(rows)
         # two that reach the similarity meet in narrow buckets as often as they need, or share a wide one
-        pairs = met_pairs(rows, buckets.where(F.col("members") <= WIDE), least)
+        pairs = met_pairs(rows.where(F.col("members") <= WIDE), least)
         more = staged(verified_in_tiles(pairs, seqs, least), "dedup-links")
-        more = more.unionByName(wide_links(rows, buckets.where(F.col("members") > WIDE), seqs, least))
+        more = more.unionByName(wide_links(rows.where(F.col("members") > WIDE), seqs, least))
         roots = roots if more.isEmpty() else components(links.unionByName(more))
-        forget(pairs, rows, buckets)
+        forget(pairs, rows)
     forget(seqs, crowd)
     return roots
 
