@@ -438,6 +438,22 @@ def test_gradient_is_that_of_finite_differences():
         assert grad[i] == pytest.approx((loss(w + step) - loss(w - step)) / 2e-3, rel=1e-2, abs=1e-6)
 
 
+@pytest.mark.parametrize("large", [1, 40])
+def test_likelihoods_equal_a_plain_softmax(large):
+    # with weights of either size: with a shift of exponents and without
+    rng = np.random.default_rng(11)
+    flat = (rng.normal(0, 0.3, gru.SIZE) * large).astype(np.float32)
+    p = {k: v.astype(np.float64) for k, v in gru.views(flat).items()}
+    h, y = np.tanh(rng.normal(size=(200, gru.HIDDEN))).astype(np.float32), rng.integers(0, gru.SYMBOLS, 200)
+    log_softmax = lambda a: a - a.max() - np.log(np.exp(a - a.max()).sum())
+    want = []
+    for state, symbol in zip(h.astype(np.float64), y.tolist(), strict=True):
+        cls = symbol // gru.WIDE if symbol < gru.TOP else symbol - gru.TOP + gru.FREQUENT
+        like = log_softmax(state @ p["Wc"] + p["bc"])[cls]
+        want.append(like + (log_softmax(state @ p["Ww"][cls] + p["bw"][cls])[symbol % gru.WIDE] if symbol < gru.TOP else 0))
+    assert np.allclose(gru.Model(flat).outputs(h, y)[0], want, rtol=1e-4, atol=1e-4)
+
+
 def test_state_is_carried_and_texts_stand_alone():
     rng = np.random.default_rng(1)
     w = gru.first_weights(np.ones(gru.SYMBOLS))

@@ -22,6 +22,7 @@ separate texts. Without any training text the base score is log10(0.5 / 0.5) = 0
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,41 +100,56 @@ class Model:
             out[t] = h
         return out, steps
 
+    def softmax(self, h: np.ndarray, w: np.ndarray, y: np.ndarray, size: int, back: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Log-likelihood of the columns y by a softmax of ``h`` (its last column ones) over ``w`` (its last row biases). With
+        ``back``, which takes the gradient of minus its sum over ``size`` by the state, also that by ``w``."""
+        a = h @ w
+        # states stay within 1, so exponents are bounded by the weights and mostly need no shift
+        if np.abs(w).sum(axis=0).max() > 60:
+            a -= a.max(axis=1, keepdims=True)
+        rows = np.arange(y.size)
+        like = a[rows, y]
+        e = np.exp(a, out=a)
+        z = e @ np.ones(w.shape[1], np.float32)
+        like -= np.log(z)
+        if back is None:
+            return like, None
+        e[rows, y] -= z
+        share = (1 / (z * np.float32(size)))[:, None]
+        np.multiply(e @ w[:-1].T, share, out=back)
+        return like, (h * share).T @ e
+
     def outputs(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log-likelihood of each target but for the words within tail classes, and the gradient of minus its mean."""
-        p, rows = self.p, np.arange(y.size)
-        cls = np.where(y < TOP, y // WIDE, y - TOP + FREQUENT)
-        a = h @ p["Wc"] + p["bc"]
-        a -= a.max(axis=1, keepdims=True)
-        e = np.exp(a)
-        z = e.sum(axis=1)
-        like, back = a[rows, cls] - np.log(z), None
+        p = self.p
+        cls = np.where(y < TOP, y // WIDE, y - TOP + FREQUENT).astype(np.uint8)
+        # in order of class, so the words of a class stand in a row
+        order = np.argsort(cls, kind="stable")
+        cls, y = cls[order], y[order]
+        h = np.c_[h[order], np.ones(y.size, np.float32)]
+        ends = np.searchsorted(cls, np.arange(FREQUENT + 1))
+        back, own = (None, None) if grad is None else np.empty((2, y.size, HIDDEN), np.float32)
+        like, g = self.softmax(h, np.r_[p["Wc"], p["bc"][None]], cls, y.size, back)
         if grad is not None:
-            e *= (1 / (z * y.size))[:, None]
-            e[rows, cls] -= 1 / y.size
-            grad["Wc"] += h.T @ e
-            grad["bc"] += e.sum(axis=0)
-            back = e @ p["Wc"].T
-        often = np.flatnonzero(y < TOP)
-        often = often[np.argsort(cls[often], kind="stable")]
-        ends = np.searchsorted(cls[often], np.arange(FREQUENT + 1))
+            grad["Wc"] += g[:-1]
+            grad["bc"] += g[-1]
         for c in range(FREQUENT):
-            at = often[ends[c] : ends[c + 1]]
-            if not at.size:
+            at = slice(ends[c], ends[c + 1])
+            if at.start == at.stop:
                 continue
-            own, word, few = h[at], y[at] % WIDE, np.arange(at.size)
-            a = own @ p["Ww"][c] + p["bw"][c]
-            a -= a.max(axis=1, keepdims=True)
-            e = np.exp(a)
-            z = e.sum(axis=1)
-            like[at] += a[few, word] - np.log(z)
+            some, g = self.softmax(h[at], np.r_[p["Ww"][c], p["bw"][c][None]], y[at] % WIDE, y.size, None if grad is None else own[at])
+            like[at] += some
             if grad is not None:
-                e *= (1 / (z * y.size))[:, None]
-                e[few, word] -= 1 / y.size
-                grad["Ww"][c] += own.T @ e
-                grad["bw"][c] += e.sum(axis=0)
-                back[at] += e @ p["Ww"][c].T
-        return like, back
+                grad["Ww"][c] += g[:-1]
+                grad["bw"][c] += g[-1]
+        placed = np.empty_like(like)
+        placed[order] = like
+        if grad is None:
+            return placed, None
+        back[: ends[-1]] += own[: ends[-1]]
+        out = np.empty_like(back)
+        out[order] = back
+        return placed, out
 
     def gradient(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Gradient over one window, the state after it and its mean log-likelihood."""
@@ -143,18 +159,22 @@ class Model:
         like, d = self.outputs(out[real], y[real], grad)
         back = np.zeros(out.shape, np.float32)
         back[real] = d
-        inputs, carry = np.empty((*x.shape, 3 * n), np.float32), np.zeros_like(h)
+        inputs, within, carry = np.empty((*x.shape, 3 * n), np.float32), np.empty((*x.shape, 3 * n), np.float32), np.zeros_like(h)
         for t in range(x.shape[0] - 1, -1, -1):
             h0, z, r, new, k = steps[t]
             dh = back[t] + carry
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (h0 - new) * z * (1 - z)
-            dr = dnew * k * r * (1 - r)
-            inputs[t] = np.concatenate([dz, dr, dnew], axis=1)
-            dk = np.concatenate([dz, dr, dnew * r], axis=1)
-            grad["U"] += h0.T @ dk
-            carry = (dh * z + dk @ u.T) * ~fresh[t][:, None]
-        flat_x, inputs = x.ravel(), inputs.reshape(-1, 3 * n)
+            shut, dk = dh * (1 - z), within[t]
+            dnew = shut * (1 - new * new)
+            dk[:, :n] = shut * z * (h0 - new)
+            dk[:, n : 2 * n] = dnew * k * r * (1 - r)
+            dk[:, 2 * n :] = dnew * r
+            inputs[t, :, : 2 * n] = dk[:, : 2 * n]
+            inputs[t, :, 2 * n :] = dnew
+            carry = dh * z + dk @ u.T
+            if fresh[t].any():
+                carry *= ~fresh[t][:, None]
+        grad["U"] += np.concatenate([s[0] for s in steps]).T @ within.reshape(-1, 3 * n)
+        flat_x, inputs = x.ravel().astype(np.uint16), inputs.reshape(-1, 3 * n)  # short numbers are sorted by radix
         order = np.argsort(flat_x, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(flat_x[order]) != 0])
         grad["G"][flat_x[order[starts]]] = np.add.reduceat(inputs[order], starts, axis=0)
@@ -234,6 +254,13 @@ def loglik(weights: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def numbered() -> defaultdict[bytes, int]:
+    """A number for each new key, from 0."""
+    found = defaultdict(int)
+    found.default_factory = found.__len__
+    return found
+
+
 def blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per block of texts: ids, held, sizes, words, their training counts, and the words of all texts as numbers."""
 
@@ -241,26 +268,23 @@ def blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         task, made = TaskContext.get().partitionId(), 0
 
         def row():
-            counts = np.zeros(len(vocab), np.int64)
-            for s, h in zip(seqs, held, strict=True):
-                if not h:
-                    counts += np.bincount(s, minlength=len(vocab))
+            learnt = [s for s, h in zip(seqs, held, strict=True) if not h]
+            counts = np.bincount(np.concatenate(learnt), minlength=len(vocab)) if learnt else np.zeros(len(vocab), np.int64)
             kind = "<u2" if len(vocab) <= 1 << 16 else "<u4"
             seq = np.concatenate(seqs).astype(kind).tobytes()
             return pd.DataFrame({"block": [task << 24 | made], "ids": [ids], "held": [held], "sizes": [[s.size for s in seqs]], "words": [[w.decode() for w in vocab]], "counts": [counts], "seq": [seq]})
 
-        vocab, ids, held, seqs, size = {}, [], [], [], 0
+        vocab, ids, held, seqs, size = numbered(), [], [], [], 0
         for batch in batches:
             for i, h, text in zip(batch["doc_id"], batch["held"], batch["text"], strict=True):
                 words = text.encode().lower().split()
-                number = vocab.setdefault
-                seqs.append(np.array([number(w, len(vocab)) for w in words], np.int64))
+                seqs.append(np.fromiter(map(vocab.__getitem__, words), np.int64, len(words)))
                 ids.append(i)
                 held.append(bool(h))
                 size += len(text)
                 if size >= BLOCK_BYTES:
                     yield row()
-                    vocab, ids, held, seqs, size, made = {}, [], [], [], 0, made + 1
+                    vocab, ids, held, seqs, size, made = numbered(), [], [], [], 0, made + 1
         if ids:
             yield row()
 
