@@ -35,3 +35,12 @@ def test_a_window_that_stands_still_has_no_centre(spark, sf, tmp_path):
     name = "WN-19"
     assert [r["centre"] for r in catalog.queries()[name](spark, d).where("window = 1").collect()] == [None]
     same(spark, d, catalog.queries()[name], catalog.oracle_sql()[name])
+
+
+def test_a_deviation_at_a_threshold_falls_as_in_sql(spark):
+    # their deviation is one exactly
+    values = [1.0, 1.68, -1.68, 0.44, 1.12, 1.8, -0.32, 0.36, 1.04, -0.24]
+    rows = spark.createDataFrame([(1, n, x) for n, x in enumerate(values)], "trip_id long, n long, x double")
+    sd = [r["sd"] for r in rows.select("n", rolling.rolling_std("x", 5).alias("sd")).orderBy("n").collect()]
+    assert sd[4] == 1.0
+    assert sd == [r[0] for r in duckdb.sql(f"select stddev_pop(x) over (order by n rows between 5 preceding and 5 following) from (select unnest(range(10)) as n, unnest({values}) as x) order by n").fetchall()]
