@@ -6,7 +6,7 @@ import duckdb
 from oracle import same
 from pyspark.sql import functions as F
 
-from trailweave.operators import rolling
+from trailweave.operators import gating, rolling
 from trailweave.plans import catalog
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double, props varchar"
@@ -59,3 +59,10 @@ def test_sides_that_cancel_point_as_in_sql(spark, sf, tmp_path):
     d = with_table(tmp_path, sf, "events", EVENTS, events(*pairs))
     assert catalog.queries()["WN-31"](spark, d).first()["measured"] == 3.14159
     same(spark, d, catalog.queries()["WN-31"], catalog.oracle_sql()["WN-31"])
+
+
+def test_routes_just_within_the_tolerance_agree(spark):
+    # 12 metres apart but for rounding
+    rows = [(1, 1, 0.5, 1.6), (1, 2, 0.25, 13.600000000000003), (1, 3, 0.25, 2.0)]
+    got = gating.corroborated(spark.createDataFrame(rows, "trip_id long, route long, w double, y double"), ["trip_id"]).first()
+    assert (got["routes"], got["agreeing"]) == (3, 3) and got["mass"] == 1.0
