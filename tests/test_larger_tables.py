@@ -66,3 +66,9 @@ def test_routes_just_within_the_tolerance_agree(spark):
     rows = [(1, 1, 0.5, 1.6), (1, 2, 0.25, 13.600000000000003), (1, 3, 0.25, 2.0)]
     got = gating.corroborated(spark.createDataFrame(rows, "trip_id long, route long, w double, y double"), ["trip_id"]).first()
     assert (got["routes"], got["agreeing"]) == (3, 3) and got["mass"] == 1.0
+
+
+def test_zones_of_many_conversations_are_read(spark, sf, tmp_path):
+    rows = [(n, turn, "user", "text") for n in (0, 8999, 9000, 99000, 1234567) for turn in range(3)]
+    d = with_table(tmp_path, sf, "conversations", "conv_id bigint, turn bigint, role varchar, text varchar", rows)
+    same(spark, d, catalog.queries()["TX-04"], catalog.oracle_sql()["TX-04"])
