@@ -162,9 +162,8 @@ def rank_test(df: DataFrame, keys: list[str], value: str, first: Column) -> Data
     return d.select(*keys, "n1", "n2", u.alias("u"), z.alias("z"), two_sided(z).alias("p"))
 
 
-def poisson(key: Column) -> Column:
-    """A Poisson number of mean one, fixed by the text of ``key``."""
-    u = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") / 4294967296.0
+def poisson(u: Column) -> Column:
+    """A Poisson number of mean one, by a number spread evenly over [0, 1)."""
     below = [sum(np.exp(-1) / float(np.prod(range(1, j + 1))) for j in range(i + 1)) for i in range(7)]
     return reduce(lambda a, b: a + b, [(u >= float(x)).cast("int") for x in below])
 
@@ -176,8 +175,13 @@ def bootstrap_medians(df: DataFrame, keys: list[str], row: Column, value: str, s
     the least value with half of the weight at or below it; replicates in which a side is empty are not used.
     """
     d = df.select(*keys, C(value).alias("x"), side.alias("side"), row.cast("string").alias("__row"))
-    d = d.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates))))  # replicate 0 takes each row once
-    d = d.withColumn("w", F.when(C("rep") == 0, 1).otherwise(poisson(F.concat("__row", F.lit(":"), C("rep").cast("string"))))).where("w > 0")
+    # numbers come out of the explosion, so each hash is taken once; replicate 0 takes each row once
+    spread = lambda rep: F.conv(F.substring(F.md5(F.concat("__row", F.lit(":"), rep.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") / 4294967296.0
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(replicates)), lambda rep: F.struct(rep.alias("rep"), F.when(rep > 0, spread(rep)).alias("u")))
+    # a small table is still much work, so its rows are dealt out to all tasks
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    d = d.repartition(tasks, "__row").select(*keys, "side", "x", F.inline(drawn))
+    d = d.withColumn("w", F.when(C("rep") == 0, 1).otherwise(poisson(C("u")))).where("w > 0")
     d = d.groupBy(*keys, "side", "rep", "x").agg(F.sum("w").alias("w"))
     part = Window.partitionBy(*keys, "side", "rep")
     d = d.withColumn("upto", F.sum("w").over(part.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("w").over(part))
